@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, url_filter
+from . import mixing, neardup, repeats, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,15 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op4_minhash": op4_minhash,
     "op7_mixing": op7_mixing,
     "op9_url_filter": op9_url_filter,
+    "op10_suffix_array": op10_suffix_array,
 }
 ORACLES = {
     "op7_mixing": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.ORACLE})",
