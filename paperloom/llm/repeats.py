@@ -10,7 +10,9 @@ grams and equal distances to them, so only segments of one anchor gram need a co
   before it, reversed. With both orders and their common prefixes, the starts at distance ``a`` fall into classes that
   agree on ``a`` bytes before and ``LENGTH - a`` bytes after the anchor; a class of two or more repeats;
 * grams with more than ``GROUP`` distinct segments are not gathered. Their starts are cut into cells by distance to the
-  anchor; a cell's common core, then its starts, are counted by 128-bit hashes with partial sums on every task.
+  anchor, and cells into parts. Hashes are counted with partial sums on every task: of the core that a cell's starts
+  share, then of a part's core and of the whole part, and of single starts only in parts of which the core repeats and
+  the whole does not. So a member of a hot group makes a few rows where its repeated text ends, not one a byte.
 
 Strings are judged on the input; removal is the union of all repeated strings.
 """
@@ -33,8 +35,8 @@ from .suffix_sort import deep_shallow_order
 LENGTH, GRAM = 400, 64
 #: Distinct segments of one gram that a task sorts; larger groups are counted by hashes instead.
 GROUP = 64
-#: Starts in a cell.
-CELL = 32
+#: Starts in a cell, and in a part of a cell.
+CELL, PART = 32, 4
 #: Longer texts are worked on in pieces of so many starts.
 PIECE = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
@@ -135,10 +137,20 @@ def finder(length: int, gram: int):
     return find
 
 
-CUT = "doc long, tkey long, lo long, n int, a int, gram long, times long, content binary, cell int, k1 long, k2 long, starts array<long>"
+def _ranges(a: int, n: int, size: int) -> list[tuple[int, int, int]]:
+    """The distances a - n + 1 .. a to an anchor, by ranges of ``size``: number, greatest, least."""
+    return [(c, min(a, c * size + size - 1), max(a - n + 1, c * size)) for c in range((a - n + 1) // size, a // size + 1)]
 
 
-def cutter(length: int, gram: int, cell: int):
+def _core(a: int, c: int, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes (from, to) of a segment with its anchor at ``a`` that all strings of range ``c`` hold."""
+    return np.array([a - c * size]), np.array([a - c * size - size + 1 + length])
+
+
+CUT = "doc long, tkey long, lo long, n int, a int, gram long, times long, content binary, cell int, k1 long, k2 long, parts array<struct<part:int,core:long,at:long,starts:array<long>>>"
+
+
+def cutter(length: int, gram: int, cell: int, part: int):
     """The bytes of listed segments, or the cells of those in large groups."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +165,15 @@ def cutter(length: int, gram: int, cell: int):
                     content = text[lo : lo + n - 1 + length]
                     common = {"doc": docs[i], "tkey": keys[i], "gram": s["gram"], "times": s["times"]}
                     if not s["large"]:
-                        rows = [common | {"lo": lo, "n": n, "a": a, "content": content, "cell": None, "k1": None, "k2": None, "starts": None}]
+                        rows = [common | {"lo": lo, "n": n, "a": a, "content": content, "cell": None, "k1": None, "k2": None, "parts": None}]
                     else:
-                        part = np.frombuffer(content, np.uint8)
-                        one, two = tb.Slices(part), tb.Slices(part, seed=1)
+                        whole = np.frombuffer(content, np.uint8)
+                        one, two = tb.Slices(whole), tb.Slices(whole, seed=1)
                         every, rows = one.windows(length).view(np.int64), []
-                        for c in range((a - n + 1) // cell, a // cell + 1):  # distances a - n + 1 .. a, by cells
-                            far, near = min(a, c * cell + cell - 1), max(a - n + 1, c * cell)
-                            core = np.array([a - c * cell]), np.array([a - c * cell - cell + 1 + length])
-                            rows.append(common | {"lo": lo + a - far, "n": far - near + 1, "a": far, "content": None, "cell": c, "k1": int(one.hashes(*core).view(np.int64)[0]), "k2": int(two.hashes(*core).view(np.int64)[0]), "starts": every[a - far : a - near + 1].tolist()})
+                        for c, far, near in _ranges(a, n, cell):
+                            core = _core(a, c, cell, length)
+                            parts = [{"part": p, "core": int(one.hashes(*_core(a, p, part, length)).view(np.int64)[0]), "at": lo + a - f, "starts": every[a - f : a - g + 1].tolist()} for p, f, g in _ranges(far, far - near + 1, part)]
+                            rows.append(common | {"lo": lo + a - far, "n": far - near + 1, "a": far, "content": None, "cell": c, "k1": int(one.hashes(*core).view(np.int64)[0]), "k2": int(two.hashes(*core).view(np.int64)[0]), "parts": parts})
                     for r in rows:
                         for k, v in r.items():
                             out[k].append(v)
@@ -175,9 +187,10 @@ def cutter(length: int, gram: int, cell: int):
 
 
 def _batch(out: dict[str, list]) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
-    fields = [x.split() for x in CUT.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(out[k], kinds[t]) for k, t in fields], [k for k, _ in fields])
+    parts = pa.list_(pa.struct([("part", pa.int32()), ("core", pa.int64()), ("at", pa.int64()), ("starts", pa.list_(pa.int64()))]))
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [(k, kinds.get(t, parts)) for k, t in (x.split() for x in CUT.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in fields], [k for k, _ in fields])
 
 
 def repeated_distances(before: list[bytes], after: list[bytes], length: int) -> list[list[tuple[int, int]]]:
@@ -261,19 +274,28 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
     multiple = contents.join(grams, "gram").withColumn("large", F.col("k") > group)
     listed = multiple.groupBy("doc", "tkey").agg(F.collect_list(F.struct("gram", "times", "lo", "n", "a", "large")).alias("listed"))
     texts = docs.select("doc", "tkey", "text").join(listed, ["doc", "tkey"])
-    cut = written(texts.select("doc", "tkey", "text", "listed").mapInArrow(cutter(length, gram, CELL), CUT), "cut")
+    cut = written(texts.select("doc", "tkey", "text", "listed").mapInArrow(cutter(length, gram, CELL, PART), CUT), "cut")
     small = cut.where("content IS NOT NULL").select("doc", "tkey", "lo", "n", "a", "gram", "times", "content")
     by_sort = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(sorter(length, gram), SPAN)
-    cells = cut.where("cell IS NOT NULL").select("doc", "tkey", "lo", "times", "gram", "cell", "k1", "k2", "starts")
+    cells = cut.where("cell IS NOT NULL").select("doc", "tkey", "times", "gram", "cell", "k1", "k2", "parts")
     core = ["gram", "cell", "k1", "k2"]
     met = cells.groupBy(*core).agg(F.sum("times").alias("m")).where("m > 1").drop("m")
-    starts = written(cells.join(met, core).select("doc", "tkey", "lo", "times", *core, F.posexplode("starts").alias("i", "h")), "starts")
+    parts = cells.join(met, core).select("doc", "tkey", "times", *core, F.explode("parts").alias("p")).select("doc", "tkey", "times", *core, "p.*")
+    parts = written(parts.withColumn("n", F.size("starts")).withColumn("whole", F.xxhash64("starts")), "parts")
+    same = parts.groupBy(*core, "part", "n", "whole").agg(F.sum("times").alias("times"), F.first("core").alias("core"), F.first("starts").alias("starts")).where("times > 1")
+    by_part = parts.where("times = 1").join(same.select(*core, "part", "n", "whole"), [*core, "part", "n", "whole"], "left_semi").select("doc", "tkey", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1).alias("hi"))
+    inner = parts.groupBy(*core, "part", F.col("core")).agg(F.sum("times").alias("m")).where("m > 1").drop("m")
+    open_ = parts.join(same.select(*core, "part", "n", "whole"), [*core, "part", "n", "whole"], "left_anti").join(inner, [*core, "part", "core"], "left_semi")
+    # a part met as a whole counts once more against the starts of parts that a segment's end cut short
+    cols = [*core, "part", "times", "starts"]
+    both = open_.select("doc", "tkey", "at", *cols).union(same.select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long"), *cols))
+    starts = written(both.select("doc", "tkey", "at", "times", *core, F.posexplode("starts").alias("i", "h")), "starts")
     twice = starts.groupBy(*core, "h").agg(F.sum("times").alias("m")).where("m > 1").drop("m")
-    by_hash = starts.where("times = 1").join(twice, [*core, "h"], "left_semi").select("doc", "tkey", (F.col("lo") + F.col("i")).alias("lo"), (F.col("lo") + F.col("i")).alias("hi"))
+    by_start = starts.where("times = 1").join(twice, [*core, "h"], "left_semi").select("doc", "tkey", (F.col("at") + F.col("i")).alias("lo"), (F.col("at") + F.col("i")).alias("hi"))
     equal = segs.join(contents.where("times > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"], "left_semi")
     known = found.where("gram IS NULL")
     whole = equal.unionByName(known).select("doc", "tkey", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
-    return whole.union(by_sort).union(by_hash)
+    return whole.union(by_sort).union(by_part).union(by_start)
 
 
 def remover(length: int):
