@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, mixing, neardup, quality, repeats, toxicity, url_filter
+from . import bm25, mixing, neardup, pii, quality, repeats, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op2_decontamination": op2_decontamination,
     "op4_minhash": op4_minhash,
+    "op6_pii": op6_pii,
     "op7_mixing": op7_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_suffix_array": op10_suffix_array,
