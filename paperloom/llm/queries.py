@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, mixing, neardup, pii, quality, repeats, toxicity, url_filter
+from . import bm25, html_text, mixing, neardup, pii, quality, repeats, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op8_toxicity": op8_toxicity,
     "op2_decontamination": op2_decontamination,
+    "op3_html_text": op3_html_text,
     "op4_minhash": op4_minhash,
     "op6_pii": op6_pii,
     "op7_mixing": op7_mixing,
