@@ -85,7 +85,7 @@ class Index:
             if not len(t):
                 continue
             question, answer = question_and_answer(text)
-            self.parts.append((trigrams(terms_of(question)), trigrams(terms_of(answer)), trigrams(t)))
+            self.parts.append((trigrams(terms_of(question)), trigrams(terms_of(answer))))
             for i in range(0, len(t), window // 2):
                 pieces.append((len(self.items), Counter(t[i : i + window // 2].tolist())))
             self.items.append(item_id)
@@ -207,28 +207,28 @@ class Index:
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def _searched(docs: DataFrame, index: Index, threshold: float, overlap: float) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(index)  # SHARD items at most
+def held_items(index: Index, part: np.ndarray, at: np.ndarray, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
+    """(row, item, score, question overlap, answer overlap) of every verified item of every row of a run."""
+    hashes, row = terms(part, at)
+    grams: tuple[int, np.ndarray] = (-1, hashes[:0])
+    for r, item, score in index.search(hashes, row, len(at) - 1, threshold):
+        if grams[0] != r:
+            lo, hi = np.searchsorted(row, (r, r + 1))
+            grams = r, trigrams(hashes[lo:hi])
+        question, answer = (_share(x, grams[1]) for x in index.parts[item])
+        if question >= overlap and answer >= overlap:
+            yield r, index.items[item], score, question, answer
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = held.value
-        for batch in batches:
-            ids, out = batch.column(0), []
-            for first, part, at in tb.runs(*tb.strings(batch.column(1))):
-                hashes, row = terms(part, at)
-                grams: tuple[int, np.ndarray] = (-1, hashes[:0])
-                for r, item, score in ix.search(hashes, row, len(at) - 1, threshold):
-                    if grams[0] != r:
-                        lo, hi = np.searchsorted(row, (r, r + 1))
-                        grams = r, trigrams(hashes[lo:hi])
-                    question, answer = (_share(x, grams[1]) for x in ix.parts[item][:2])
-                    if question >= overlap and answer >= overlap:
-                        out.append((ids[first + r].as_py(), ix.items[item], score, question, answer))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+def indexes(items: DataFrame) -> Iterator[Index]:
+    """Indexes over all items, of about ``SHARD`` each; the driver holds one at a time."""
+    slim = items.select("item_id", F.col("text").cast("string").alias("text"))
+    shards = -(-slim.count() // SHARD)
+    for k in range(shards):
+        part = slim.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k) if shards > 1 else slim
+        index = Index([(r.item_id, r.text) for r in part.orderBy("item_id", "text").toLocalIterator()])
+        if index.items:
+            yield index
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
@@ -239,14 +239,44 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     tables give an empty result. Other columns are not used. Items shorter than three terms match by their terms.
     """
     spark: SparkSession = docs.sparkSession
-    slim = items.select("item_id", F.col("text").cast("string").alias("text"))
-    shards = -(-slim.count() // SHARD)
-    out = None
-    for k in range(shards):
-        part = slim.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * shards)).isin(2 * k, 2 * k + 1)) if shards > 1 else slim
-        rows = [(r.item_id, r.text) for r in part.orderBy("item_id", "text").toLocalIterator()]
-        index = Index(rows)
-        if index.items:
-            found = _searched(docs, index, threshold, overlap)
-            out = found if out is None else out.union(found)
-    return spark.createDataFrame([], SCHEMA) if out is None else out
+
+    def searched(index: Index) -> DataFrame:
+        held = spark.sparkContext.broadcast(index)  # SHARD items
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, out = batch.column(0), []
+                for first, part, at in tb.runs(*tb.strings(batch.column(1))):
+                    out += [(ids[first + r].as_py(), *rest) for r, *rest in held_items(held.value, part, at, threshold, overlap)]
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
+
+        return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+    out = spark.createDataFrame([], SCHEMA)
+    for i, index in enumerate(indexes(items)):
+        out = out.union(searched(index)) if i else searched(index)
+    return out
+
+
+def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of ``docs``, with all columns, that hold no test item. Null and empty texts stay."""
+    place = docs.columns.index("text")
+
+    def filtered(rows: DataFrame, index: Index) -> DataFrame:
+        held = rows.sparkSession.sparkContext.broadcast(index)  # SHARD items
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, part, at in tb.runs(*tb.strings(batch.column(place))):
+                    keep = np.ones(len(at) - 1, bool)
+                    for r, *_ in held_items(held.value, part, at, threshold, overlap):
+                        keep[r] = False
+                    yield batch.slice(first, len(keep)).filter(pa.array(keep))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    for index in indexes(items):
+        docs = filtered(docs, index)
+    return docs

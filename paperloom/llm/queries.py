@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, html_text, mixing, neardup, pii, quality, repeats, toxicity, url_filter
+from . import bm25, html_text, mixing, neardup, pii, quality, repeats, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=20)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
@@ -56,12 +60,14 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_html_text": op3_html_text,
     "op4_minhash": op4_minhash,
+    "op5_topk": op5_topk,
     "op6_pii": op6_pii,
     "op7_mixing": op7_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_suffix_array": op10_suffix_array,
 }
 ORACLES = {
+    "op5_topk": topk.ORACLE,
     "op7_mixing": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.ORACLE})",
     "op9_url_filter": url_filter.ORACLE,
 }

@@ -131,6 +131,22 @@ def _distinct(part: np.ndarray, at: np.ndarray, wanted: np.ndarray | None = None
     return np.unique(row * BUCKETS + bucket)
 
 
+def _sent(docs: DataFrame, models: list[Linear]):
+    wanted = np.zeros(BUCKETS, bool)
+    for m in models:
+        wanted[m.buckets] = True
+    return docs.sparkSession.sparkContext.broadcast((models, wanted))  # KEEP numbers a category
+
+
+def probabilities(sent: tuple[list[Linear], np.ndarray], part: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Per row of a run the probabilities of all categories, each model seeing those before it."""
+    n, key = len(at) - 1, _distinct(part, at, sent[1])
+    p = np.zeros((n, 0))
+    for m in sent[0]:
+        p = np.column_stack([p, m.probability(key % BUCKETS, key // BUCKETS, n, p)])
+    return p
+
+
 def score(docs: DataFrame, models: list[Linear], threshold: float = 0.5) -> DataFrame:
     """``doc_id``, the probability of each category (``p_...``) and ``toxic`` for each row of ``docs`` (doc_id, text).
 
@@ -138,20 +154,27 @@ def score(docs: DataFrame, models: list[Linear], threshold: float = 0.5) -> Data
     and are judged by the constants alone. Repeated rows get equal results. Columns other than doc_id and text are not
     used. An empty table gives an empty result.
     """
-    wanted = np.zeros(BUCKETS, bool)
-    for m in models:
-        wanted[m.buckets] = True
-    held = docs.sparkSession.sparkContext.broadcast((models, wanted))  # KEEP numbers a category
+    held = _sent(docs, models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain, mask = held.value
         for batch in batches:
             for first, part, at in tb.runs(*tb.strings(batch.column(1))):
-                n, key = len(at) - 1, _distinct(part, at, mask)
-                p = np.zeros((n, 0))
-                for m in chain:
-                    p = np.column_stack([p, m.probability(key % BUCKETS, key // BUCKETS, n, p)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *(pa.array(p[:, j]) for j in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], ["doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic"])
+                p = probabilities(held.value, part, at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(p)), *(pa.array(p[:, j]) for j in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], ["doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic"])
 
     schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, models: list[Linear], threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all columns, that ``score`` does not call toxic. Null and empty texts stay."""
+    held, place = _sent(docs, models), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = tb.strings(batch.column(place))
+            for first, part, at in tb.runs(buf, offsets):
+                keep = (probabilities(held.value, part, at)[:, -1] < threshold) | (np.diff(at) == 0)
+                yield batch.slice(first, len(keep)).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
