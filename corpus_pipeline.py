@@ -9,7 +9,7 @@ keep their further columns throughout. Null and empty texts, repeated rows and e
   without words, and those with a null id, are nobody's duplicates and stay.
 * decontamination: documents that hold a benchmark item go.
 * personal data: no row goes; spans in the text give way to their kind in brackets.
-* mixing: every document with its size, its source's size and target, and the words that the mix takes of it.
+* mixing: every document once for each epoch that takes of it, with the words taken; what the mix does not take goes.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7, by the weights of its query."""
-    return mixing.mix(docs)
+    return mixing.mixed(docs)
 
 
 STAGES = [

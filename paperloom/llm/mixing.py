@@ -47,6 +47,27 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return ranked.withColumn("target", F.when(F.col("level") >= F.col("full_at"), F.col("cap")).otherwise(open_level * F.col("w"))).select("source", "source_size", "target")
 
 
+def _placed(docs: DataFrame, size: Column | None, seed: str) -> DataFrame:
+    """``row`` (all columns of ``docs``), size, source_size, target and taken of each row."""
+    whole = words(F.col("text")) if size is None else size.cast("long")
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), name.alias("src"), F.col("doc_id").alias("id"), whole.alias("size"), key.alias("key"))
+    keyed = keyed.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    per_range = keyed.groupBy("src", "range").agg(F.sum("size").alias("range_size"))
+    sizes = per_range.groupBy("src").agg(F.sum("range_size").alias("source_size"))
+    goal = targets(sizes.select(F.when(F.col("src") != "null", F.substring("src", 2, 2**31 - 1)).alias("source"), "source_size"))
+    goal = goal.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("src"), "source_size", "target")
+    upto = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.select("src", "range", F.coalesce(F.sum("range_size").over(upto), F.lit(0)).alias("offset")).join(goal, "src")
+    inside = Window.partitionBy("src", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.join(offsets, ["src", "range"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    budget = F.floor(F.col("target")).cast("long")
+    epochs = F.expr("CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target) AS BIGINT) DIV source_size END")
+    last = F.greatest(F.lit(0), F.least(F.col("size"), budget - epochs * F.col("source_size") - F.col("start")))
+    return placed.select("row", "size", "source_size", F.col("target").cast("double"), (epochs * F.col("size") + last).cast("long").alias("taken"))
+
+
 def mix(docs: DataFrame, size: Column | None = None, seed: str = "mix") -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` for each row of ``docs``.
 
@@ -56,19 +77,20 @@ def mix(docs: DataFrame, size: Column | None = None, seed: str = "mix") -> DataF
     where equal sizes make it irrelevant. An empty table gives an empty result. Other columns are not used.
     """
     slim = docs.select("doc_id", "source", (words(F.col("text")) if size is None else size.cast("long")).alias("size"))
-    keyed = slim.withColumn("key", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
-    keyed = keyed.withColumn("range", F.substring("key", 1, RANGE_DIGITS)).withColumn("src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
-    per_range = keyed.groupBy("src", "range").agg(F.first("source").alias("source"), F.sum("size").alias("range_size"))
-    goal = targets(per_range.groupBy("src").agg(F.first("source").alias("source"), F.sum("range_size").alias("source_size")).select("source", "source_size"))
-    goal = goal.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("src"), "source_size", "target")
-    upto = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select("src", "range", F.coalesce(F.sum("range_size").over(upto), F.lit(0)).alias("offset")).join(goal, "src")
-    inside = Window.partitionBy("src", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.join(offsets, ["src", "range"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    budget = F.floor(F.col("target")).cast("long")
-    epochs = F.expr("CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target) AS BIGINT) DIV source_size END")
-    last = F.greatest(F.lit(0), F.least(F.col("size"), budget - epochs * F.col("source_size") - F.col("start")))
-    return placed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), (epochs * F.col("size") + last).cast("long").alias("taken"))
+    return _placed(slim, F.col("size"), seed).select("row.doc_id", "row.source", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, size: Column | None = None, seed: str = "mix") -> DataFrame:
+    """The mix itself: a row of ``docs``, with all columns, for each epoch that takes of it.
+
+    ``mix_epoch`` counts from 1; ``mix_words`` are the words that the epoch takes, all of the document's except at the
+    cut. Columns of these names in ``docs`` give way. Documents that the mix does not take, and those of no words, go.
+    """
+    docs = docs.drop("mix_epoch", "mix_words")
+    taken = _placed(docs, size, seed).where("taken > 0")
+    epochs = taken.select("row", "size", "taken", F.explode(F.expr("sequence(1L, (taken + size - 1) DIV size)")).alias("epoch"))
+    part = F.least(F.col("size"), F.col("taken") - (F.col("epoch") - 1) * F.col("size"))
+    return epochs.select("row.*", F.col("epoch").cast("int").alias("mix_epoch"), part.alias("mix_words"))
 
 
 ORACLE = r"""
