@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,10 +89,78 @@ def charts(spark: SparkSession, d: str) -> DataFrame:
 def findings(spark: SparkSession, d: str, kind: str, every: int) -> DataFrame:
     """Entities, risks or deadlines: ``id % every`` of them for a document."""
     i = F.col("doc_id")
-    rows = table(spark, d, "documents").where(i % every > 0).select(i.alias("document_id"), F.explode(F.sequence(F.lit(1), (i % every).cast("int"))).cast("long").alias("k"))
+    rows = table(spark, d, "documents").where(i % every > 0).select(i.alias("document_id"), F.explode(F.sequence(F.lit(1).cast("long"), i % every)).alias("k"))
     return rows.select((F.col("document_id") * 10 + F.col("k")).alias("id"), "document_id", F.concat(F.lit(kind + " "), F.col("k")).alias("value"), ((F.col("document_id") * 7 + F.col("k") * 13) % 100).cast("long").alias("percent"))
 
 
+def members(spark: SparkSession, d: str) -> DataFrame:
+    """Each user is in two workspaces, in the second as an analyst."""
+    u = users(spark, d).select(F.col("id").alias("user_id"), F.posexplode(F.array(F.col("id"), F.col("id") + 1)).alias("k", "n"), "role")
+    return u.select("user_id", F.concat(F.lit("src"), "n").alias("workspace_id"), F.when(F.col("k") == 0, F.col("role")).otherwise("Analyst").alias("role"))
+
+
+def audit_logs(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, d, "events").select(e.alias("id"), F.when(e % 2 == 0, "document").otherwise("user").alias("auditable_type"), F.when(e % 2 == 0, F.col("user_id")).otherwise(F.col("user_id") % 9).alias("auditable_id"), F.concat(F.lit("event."), "event_type").alias("action"))
+
+
+def of_documents(spark: SparkSession, d: str, values: tuple[str, ...], name: str) -> DataFrame:
+    """A text for each document, its id filled in: made-up model output and recogniser tables."""
+    i = F.col("doc_id")
+    return table(spark, d, "documents").select(i.alias("id"), F.replace(pick(i, *values), F.lit("<id>"), i.cast("string")).alias(name))
+
+
+def ocr_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Two pages a document, page 2 first."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array(F.lit(2).cast("long"), F.lit(1).cast("long"))).alias("page_number"))
+    i = F.col("id") + F.col("page_number")
+    return rows.select("id", "page_number", F.replace(pick(i, *TSV), F.lit("<id>"), i.cast("string")).alias("tsv"))
+
+
+_HEAD = "level\tpage\tblock\tpar\tline\tword\tleft\ttop\twidth\theight\tconf\ttext"
+
+
+def _tsv(*words: tuple[str, str]) -> str:
+    return "\n".join([_HEAD, *("5\t1\t1\t1\t1\t1\t0\t0\t9\t9\t" + conf + "\t" + word for conf, word in words)])
+
+
+#: Recogniser tables: whole, with dropped words, with a short row, and without words.
+TSV = (
+    _tsv(("90.5", "Page"), ("80.25", "<id>"), ("96", "total")),
+    _tsv(("-1", ""), ("91", "Annual"), ("40", "  "), ("88.5", "report"), ("-1", "lost")),
+    _tsv(("75", "short")) + "\n5\t1\t1\t99\tcut",
+    _HEAD,
+)
+_ENTITY = '{"entity_type":"person","value":"V<id>","normalized_value":"v-<id>","confidence":0.75}'
+_RISK = '{"title":"T<id>","description":"d","severity":"high","confidence":0.5,"evidence":"e"}'
+_DEADLINE = '{"title":"T<id>","description":"d","date_type":"explicit","due_date":"2026-07-14","confidence":1,"evidence":"e"}'
+
+
+def _lists(field: str, good: str, *second: str) -> tuple[str, ...]:
+    return (*(f'{{"{field}":[{good},{x}]}}' for x in second), f'```json\n{{"{field}":[{good}]}}\n```', "Sorry, no.", f'{{"{field}":[]}}', '{"other":1}')
+
+
+#: Made-up model output by kind, with planted violations.
+RESPONSES = {
+    "entities": _lists("entities", _ENTITY, '{"entity_type":"date","value":"x","confidence":1}', '{"entity_type":"alien","value":"x","confidence":0.5}', '{"entity_type":"date","value":" \\t","confidence":0.5}', '{"entity_type":"date","value":"x","confidence":1.5}', '{"entity_type":"date","value":"x","confidence":"0.9"}', '{"entity_type":"date","confidence":0.5}', "7", '{"entity_type":null,"value":"x","confidence":0.5}'),
+    "risks": _lists("risks", _RISK, '{"title":"x","description":"d","severity":"low","confidence":"1e-1","evidence":"e"}', '{"title":"x","description":"d","severity":"huge","confidence":0.5,"evidence":"e"}', '{"title":5,"description":"d","severity":"low","confidence":0.5,"evidence":"e"}', '{"title":"x","description":"d","severity":"low","confidence":-0.5,"evidence":"e"}', '{"title":"x","description":"d","severity":"low","confidence":0.5,"evidence":""}', '{"title":"x","severity":"low","confidence":0.5,"evidence":"e"}'),
+    "deadlines": _lists("deadlines", _DEADLINE, '{"title":"x","description":"d","date_type":"relative","due_date":null,"relative_text":"in May","confidence":0.5,"evidence":"e"}', '{"title":"x","description":"d","date_type":"relative","due_date":"2026-07-14","confidence":0.5,"evidence":"e"}', '{"title":"x","description":"d","date_type":"explicit","confidence":0.5,"evidence":"e"}', '{"title":"x","description":"d","date_type":"explicit","due_date":"14 July 2026","confidence":0.5,"evidence":"e"}', '{"title":"x","description":"d","date_type":"someday","confidence":0.5,"evidence":"e"}', '{"title":"x","description":"d","date_type":"inferred","confidence":"high","evidence":"e"}', '{"title":"x","description":"d","date_type":"explicit","due_date":"2026-2-3","confidence":0.5,"evidence":"e"}'),
+    "document_type": ('{"document_type":"invoice","confidence":0.8,"reasoning":"r"}', '{"document_type":"poem","confidence":0.8,"reasoning":"r"}', '{"document_type":3,"confidence":0.8,"reasoning":"r"}', '{"document_type":"other","confidence":"0.25","reasoning":"r"}', '{"document_type":"other","confidence":2,"reasoning":"r"}', '{"document_type":"other","reasoning":"r"}', '{"document_type":"contract","confidence":1,"reasoning":"  "}', '"invoice"', "[]"),
+    "summary": ('{"executive_summary":"s","key_findings":["a"],"critical_risks":[],"upcoming_deadlines":[],"important_entities":["b","c"],"recommended_attention":[]}', '{"executive_summary":" ","key_findings":["a"],"critical_risks":[],"upcoming_deadlines":[],"important_entities":[],"recommended_attention":[]}', '{"executive_summary":"s","key_findings":["a",5],"critical_risks":[],"upcoming_deadlines":[],"important_entities":[],"recommended_attention":[]}', '{"executive_summary":"s","key_findings":["a"],"critical_risks":[]}', '{"executive_summary":"s","key_findings":["a"],"critical_risks":null,"upcoming_deadlines":[],"important_entities":[],"recommended_attention":[]}'),
+    "qa": ('{"answer":"a","confidence":"strong","cited_document_ids":["<id>"]}', '{"answer":"a","confidence":"strong","cited_document_ids":["<id>","9x"]}', '{"answer":"a","confidence":"sure","cited_document_ids":[]}', '{"answer":"a","confidence":"none","cited_document_ids":["<id>"]}', '{"answer":"a","confidence":"none","cited_document_ids":[]}', '{"answer":"a","confidence":"weak","cited_document_ids":[5]}', '{"answer":"","confidence":"weak","cited_document_ids":[]}', '{"answer":"a","confidence":"weak"}'),
+    "insights": ('{"kpis":[],"charts":[],"summary":"s","score":"3.5"}', '{"kpis":"x"}', '{"summary":7}', '{"score":"high"}', '{"charts":null}', "{}", '{"kpis":{"a":1}}'),
+}
+
+
+def responses(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return of_documents(spark, d, RESPONSES[kind], "raw_json")
+
+
+def _text_sql(values: tuple[str, ...], number: str) -> str:
+    quoted = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"replace([{quoted}][({number}) % {len(values)} + 1], '<id>', ({number})::VARCHAR)"
+
+
 SQL = {
     "v_documents": """
 SELECT doc_id AS id, 'Doc_' || doc_id || '%' || lang || '.pdf' AS name, ['PDF', 'DOCX', 'XLSX'][doc_id % 3 + 1] AS type,
@@ -130,10 +200,28 @@ SELECT doc_id * 10 + k AS id, doc_id AS document_id, '{kind} ' || k AS value, ((
 FROM documents, range(1, {every}) r(k) WHERE k <= doc_id % {every}"""
     for kind, every in (("entities", 4), ("risks", 3), ("deadlines", 2))
 }
+SQL |= {
+    "v_members": "SELECT id AS user_id, 'src' || (id + k) AS workspace_id, CASE WHEN k = 0 THEN role ELSE 'Analyst' END AS role FROM v_users, (VALUES (0), (1)) t(k)",
+    "v_audit": "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'document' ELSE 'user' END AS auditable_type, CASE WHEN event_id % 2 = 0 THEN user_id ELSE user_id % 9 END AS auditable_id, 'event.' || event_type AS action FROM events",
+    "v_ocr": f"SELECT doc_id AS id, page_number::BIGINT AS page_number, {_text_sql(TSV, 'doc_id + page_number')} AS tsv FROM documents, (VALUES (2), (1)) p(page_number)",
+} | {f"v_{kind}_out": f"SELECT doc_id AS id, {_text_sql(values, 'doc_id')} AS raw_json FROM documents" for kind, values in RESPONSES.items()}
 #: Findings a document can have, plus one.
 EVERY = {"entities": 4, "risks": 3, "deadlines": 2}
 
 
 def with_views(sql: str) -> str:
-    """An oracle over the views."""
-    return "WITH " + ",\n".join(f"{name} AS ({text})" for name, text in SQL.items()) + (", " + sql.strip()[5:] if sql.strip().upper().startswith("WITH ") else "\n" + sql)
+    """An oracle over the views that it names, and those that they name."""
+    needed: list[str] = []
+
+    def need(text: str) -> None:
+        for name in SQL:
+            if name not in needed and re.search(rf"\b{name}\b", text):
+                need(SQL[name])
+                needed.append(name)
+
+    need(sql)
+    views = ",\n".join(f"{name} AS ({SQL[name]})" for name in needed)
+    if not views:
+        return sql
+    own = re.match(r"\s*WITH (RECURSIVE )?", sql)
+    return f"WITH {own and own[1] or ''}{views}" + (", " + sql[own.end() :] if own else "\n" + sql)
