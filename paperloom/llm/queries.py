@@ -51,7 +51,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.without_repeats(_table(spark, sf_dir, "documents"), content=False)
 
 
 QUERIES = {

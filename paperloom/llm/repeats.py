@@ -177,7 +177,7 @@ def cutter(length: int, gram: int, cell: int, part: int):
                     for r in rows:
                         for k, v in r.items():
                             out[k].append(v)
-                    held += len(content)
+                    held += len(content) * (8 if s["large"] else 1)  # every start of a large group's segment is a number
                 if held > 1 << 22 and i + 1 < len(docs):
                     yield _batch(out)
                     out, held = {k: [] for k in out}, 0
@@ -298,8 +298,8 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
     return whole.union(by_sort).union(by_part).union(by_start)
 
 
-def remover(length: int):
-    """Documents without their repeated bytes."""
+def remover(length: int, content: bool):
+    """Documents without their repeated bytes, with what is left if ``content``."""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,14 +320,18 @@ def remover(length: int):
                         at, removed, count = b, removed + b - a, count + 1
                 parts.append(text[at:])
                 rest = b"".join(parts)
-                n_bytes.append(len(text)), n_removed.append(removed), n_spans.append(count), sha.append(hashlib.sha256(rest).hexdigest()), kept.append(rest)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                n_bytes.append(len(text)), n_removed.append(removed), n_spans.append(count), sha.append(hashlib.sha256(rest).hexdigest())
+                if content:
+                    kept.append(rest)
+            columns = [ids, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary())] if content else columns, [*names, "kept"] if content else names)
 
     return remove
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (bytes) for each row of ``docs`` (doc_id, text).
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, content: bool = True) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (bytes, if ``content``) for each row of ``docs`` (doc_id, text).
 
     A null text is empty. Rows are documents of their own: rows that repeat a doc_id and text repeat each other's bytes.
     A null doc_id is a value like others. A cut may part a multi-byte character, so ``kept`` is binary. Texts shorter
@@ -337,4 +341,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     found = spans(keyed, length, gram, group)
     lists = found.groupBy("doc", "tkey").agg(F.collect_list("lo").alias("lows"), F.collect_list("hi").alias("highs"))
     joined = keyed.join(lists, ["doc", "tkey"], "left").select("doc_id", "text", "lows", "highs")
-    return joined.mapInArrow(remover(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(remover(length, content), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * content)
