@@ -5,10 +5,13 @@ its least hash, and an empty one borrows from a bin that a universal hash of (bi
 value (optimal densification). ``ROWS`` bins make a band, a band's value a bucket. With 60 bands of 6 rows a pair at
 similarity 0.8 misses all buckets with probability ``(1 - 0.8 ** 6) ** 60``, about 1e-8.
 
-Equal sets collapse to one representative before anything is paired. In a bucket, every member is tied to the centre
-(the least id): m - 1 edges, not m * m. Edges are confirmed on full sets. Where a bucket's members are still in different
-components, further members take the centre's part, twice as many each round, against members of other components
-only, until each such bucket is one component or every member has been a centre: no link of a bucket is lost.
+Equal sets collapse to one representative before anything is paired. In a bucket, every member is tied to the centre, the
+member that meets most others over all buckets: m - 1 edges, not m * m. Edges are confirmed on full sets. Where members of
+a bucket are still in different components, two members that link share a shingle among the first few of their sets in any
+fixed order (prefix filter with positions). The order puts the centre's shingles last, so what all members have in common
+deals nobody together; lists of members by such a shingle are small buckets, which get stars too, with more and more of
+their members as centres, against members of other components only, until each list is one component or all its members
+have been centres: no link of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -110,11 +113,8 @@ def setter(size: int):
     return sets
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets reach the similarity. Reads the texts of paired documents only."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(texts.mapInArrow(setter(size), "id long, shingles array<long>"), "sets")
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets reach the similarity."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(F.lit(100) * shared >= F.lit(percent) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
@@ -125,6 +125,26 @@ def _close(n: str, m: str, percent: int) -> Column:
     return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
 
+def _least_shared(n: Column, m: Column, percent: int) -> Column:
+    """Shingles that sets of two sizes share at least if they link."""
+    return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+
+
+def _lists(docs_sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """``a, token, id, n, pos``: the first shingles of every member ``id`` of a star ``a``, those of the centre last."""
+    least = stars.groupBy("a").agg(F.min("n").alias("least"))
+    both = stars.join(least, "a").join(docs_sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(docs_sets.select("id", F.col("shingles").alias("sb")), "id")
+    ordered = F.concat(F.array_sort(F.array_except("sb", "sa")), F.array_sort(F.array_intersect("sb", "sa")))
+    partner = F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100))
+    length = (F.col("n") - _least_shared(F.col("n"), partner, percent) + 1).cast("int")
+    return both.select("a", "id", "n", F.posexplode(F.slice(ordered, F.lit(1), length)).alias("pos", "token"))
+
+
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    texts = docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return written(texts.mapInArrow(setter(size), "id long, shingles array<long>"), "sets")
+
+
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs`` (doc_id, text).
 
@@ -137,28 +157,49 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     equal = written(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "equal")
     reps = signed.where("doc_id IS NOT NULL").select("doc_id", "n", "bands").join(equal.select(F.col("rep").alias("doc_id"), "n"), ["doc_id", "n"], "left_semi")
     dealt = reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("bucket"))
-    centres = dealt.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
-    tied = dealt.join(centres, "bucket").select("bucket", "m", F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    tied = written(tied.where("a <> b"), "tied")
-    pairs = written(tied.where(_close("na", "nb", percent)).select("a", "b").distinct(), "pairs")
-    links = written(_confirmed(docs, pairs, size, percent), "links")
-    wide = tied.where("m > 2")
-    members = wide.select("bucket", "b", "nb").union(wide.groupBy("bucket").agg(F.first("a"), F.first("na"))).toDF("bucket", "id", "n")
-    asked, centre = 1, pairs
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    met = written(dealt.join(shared, "bucket"), "met")
+    popular = met.groupBy("id").agg(F.sum("m").alias("mates"))
+    known = written(met.join(popular, "id"), "known")
+    centres = known.groupBy("bucket").agg(F.max(F.struct("mates", -F.col("id"), "n")).alias("c")).select("bucket", (-F.col("c.col2")).alias("a"), F.col("c.n").alias("na"))
+    tied = written(known.join(centres, "bucket").where("a <> id").select("bucket", "m", "a", "na", "id", "n"), "tied")
+    ordered = (F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    pairs = tied.where(_close("na", "n", percent)).select(*ordered).distinct()
+    sets = _sets(docs, tied.select(F.explode(F.array("a", "id")).alias("id")).distinct(), size)
+    links = written(_confirmed(sets, pairs, percent), "links")
+    labels = written(components(links), "labels")
+
+    def labelled(members: DataFrame) -> DataFrame:
+        return members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+
+    mixed = (F.min("label").alias("lo"), F.max("label").alias("hi"))
+    now = labelled(tied.where("m > 2"))
+    split = now.groupBy("bucket").agg(*mixed).where("lo < hi").select("bucket")
+    stars = written(now.join(split, "bucket", "left_semi").select("a", "id", "n").distinct(), "stars")
+    lists, asked = written(_lists(sets, stars, percent), "lists"), 0
     while True:
-        labels = written(components(links), "labels")
-        now = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("label"))
-        split = now.groupBy("bucket").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where((F.col("lo") < F.col("hi")) & (F.col("m") - 1 > asked))
-        members = written(members.join(split, "bucket", "left_semi"), "members")
-        if members.isEmpty():
+        now = labelled(lists)
+        open_ = now.groupBy("a", "token").agg(F.count("*").alias("m"), *mixed).where((F.col("lo") < F.col("hi")) & (F.col("m") > asked)).select("a", "token", "m")
+        lists = written(lists.drop("m").join(open_, ["a", "token"]), "lists")
+        if lists.isEmpty():
             break
-        ranked = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("label"), F.row_number().over(Window.partitionBy("bucket").orderBy("id")).alias("k"))
-        stars = ranked.where((F.col("k") > asked) & (F.col("k") <= 2 * asked)).select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("k").alias("ka"))
-        more = stars.join(ranked.withColumnsRenamed({"id": "b", "n": "nb"}), "bucket").where((F.col("ka") < F.col("k")) & (F.col("la") != F.col("label")) & _close("na", "nb", percent)).select("a", "b").distinct()
-        pairs = written(more.join(centre, ["a", "b"], "left_anti"), "pairs")
-        centre = centre.union(pairs)
-        links = written(links.union(_confirmed(docs, pairs, size, percent)), "links")
-        asked *= 2
+        more = 8 * asked if asked else 1
+        if asked:
+            # each member's turn comes by its hash; when ``more`` is a list's size, all have had it
+            turn = (F.pmod(F.xxhash64("id", "token"), F.lit(1 << 30)) / (1 << 30)) * F.col("m")
+            ranked = labelled(lists).withColumn("turn", turn)
+            stand = ranked.where((F.col("turn") >= (asked if asked > 1 else 0)) & (F.col("turn") < more))
+        else:
+            mates = lists.groupBy("a", "id").agg(F.sum("m").alias("mates"))
+            ranked = labelled(lists).join(mates, ["a", "id"]).withColumn("turn", F.lit(0.0))
+            best = ranked.groupBy("a", "token").agg(F.max(F.struct("mates", -F.col("id"))).alias("c")).select("a", "token", (-F.col("c.col2")).alias("id"))
+            stand = ranked.join(best, ["a", "token", "id"], "left_semi")
+        stand = stand.select("a", "token", F.col("id").alias("c"), F.col("n").alias("nc"), F.col("pos").alias("pc"), F.col("label").alias("lc"))
+        need = _least_shared(F.col("n"), F.col("nc"), percent)
+        fit = (F.col("id") != F.col("c")) & (F.col("label") != F.col("lc")) & _close("n", "nc", percent) & (F.col("pos") <= F.col("n") - need) & (F.col("pc") <= F.col("nc") - need)
+        new = ranked.join(stand, ["a", "token"]).where(fit).select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
+        links = written(links.union(_confirmed(sets, new, percent)), "links")
+        labels, asked = written(components(links), "labels"), more
     by_set = equal.join(labels.withColumnsRenamed({"id": "rep"}), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.drop("bands").join(by_set, ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
