@@ -10,6 +10,8 @@ import pyarrow as pa
 
 #: Documents are worked on in runs of about so many bytes (a longer document is a run of its own).
 RUN_BYTES = 1 << 20
+#: Rows of a run at most, as some work has arrays of many numbers a row.
+RUN_ROWS = 2048
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2 ** 64
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -84,7 +86,7 @@ def runs(buf: np.ndarray, offsets: np.ndarray, most: int = RUN_BYTES) -> Iterato
     row, n = 0, len(offsets) - 1
     while row < n:
         end = int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1
-        end = min(max(end, row + 1), n)
+        end = min(max(end, row + 1), row + RUN_ROWS, n)
         yield row, buf[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
