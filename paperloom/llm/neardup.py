@@ -130,20 +130,33 @@ def _least_shared(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
 
 
+def _bits(hashes: Column) -> Column:
+    """128 bits, one for each class of hashes that occurs."""
+    one = F.lit(1).cast("long")
+    half = lambda k: F.aggregate(F.filter(hashes, lambda x: F.shiftright(x, 6).bitwiseAND(1) == k), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))))
+    return F.array(half(0), half(1))
+
+
+def _count(f, *masks: str) -> Column:
+    return sum((F.bit_count(f(*[F.col(m)[k] for m in masks])) for k in (0, 1)), F.lit(0))
+
+
 def _lists(docs_sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
-    """``a, na, token, pos, id, n, own, gaps``: the first shingles of every member ``id`` of a star ``a``, those of the centre last.
+    """``a, na, token, pos, id, n, own, gaps, marks``: the first shingles of every member ``id`` of a star ``a``, those of the centre last.
 
     ``own`` is the number of a member's shingles that the centre hasn't, and ``gaps`` a bit for each class of hashes in
-    which it lacks one of the centre's: the bits of two members together count no more than what both leave of it.
+    which it lacks one of the centre's: the bits of two members together count no more than what either lacks of it.
+    ``marks`` are such bits of a member's own shingles: a bit that another has not stands for one that they don't share.
     """
     least = stars.groupBy("a").agg(F.min("n").alias("least"))
     both = stars.join(least, "a").join(docs_sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(docs_sets.select("id", F.col("shingles").alias("sb")), "id")
     ordered = F.concat(F.array_sort(F.array_except("sb", "sa")), F.array_sort(F.array_intersect("sb", "sa")))
     partner = F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100))
     length = (F.col("n") - _least_shared(F.col("n"), partner, percent) + 1).cast("int")
-    lacking = F.array_except("sa", "sb")
-    gaps = [F.aggregate(F.filter(lacking, lambda x: F.shiftright(x, 6).bitwiseAND(1) == half), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))) for half in (0, 1)]
-    return both.select("a", F.size("sa").alias("na"), "id", "n", F.size(F.array_except("sb", "sa")).alias("own"), F.array(*gaps).alias("gaps"), F.posexplode(F.slice(ordered, F.lit(1), length)).alias("pos", "token"))
+    cut = both.select("a", F.size("sa").alias("na"), "id", "n", F.array_except("sb", "sa").alias("more"), F.array_except("sa", "sb").alias("less"), F.slice(ordered, F.lit(1), length).alias("first"))
+    # numbers of a row are made before it is dealt out by its first shingles
+    counted = cut.select("a", "na", "id", "n", F.size("more").alias("own"), _bits(F.col("less")).alias("gaps"), _bits(F.col("more")).alias("marks"), "first")
+    return counted.select("a", "na", "id", "n", "own", "gaps", "marks", F.posexplode("first").alias("pos", "token"))
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -200,12 +213,13 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
             ranked = labelled(lists).join(mates, ["a", "id"]).withColumn("turn", F.lit(0.0))
             best = ranked.groupBy("a", "token").agg(F.max(F.struct("mates", -F.col("id"))).alias("c")).select("a", "token", (-F.col("c.col2")).alias("id"))
             stand = ranked.join(best, ["a", "token", "id"], "left_semi")
-        stand = stand.select("a", "token", F.col("id").alias("c"), F.col("n").alias("nc"), F.col("pos").alias("pc"), F.col("own").alias("oc"), F.col("gaps").alias("gc"), F.col("label").alias("lc"))
+        stand = stand.select("a", "token", F.col("id").alias("c"), F.col("n").alias("nc"), F.col("pos").alias("pc"), F.col("own").alias("oc"), F.col("gaps").alias("gc"), F.col("marks").alias("mc"), F.col("label").alias("lc"))
         need = _least_shared(F.col("n"), F.col("nc"), percent)
         fit = (F.col("id") != F.col("c")) & (F.col("label") != F.col("lc")) & _close("n", "nc", percent) & (F.col("pos") <= F.col("n") - need) & (F.col("pc") <= F.col("nc") - need)
         # what two members share of the centre, and, if their first common shingle is not the centre's, of their own
-        bits = sum((F.bit_count(F.col("gaps")[k].bitwiseOR(F.col("gc")[k])) for k in (0, 1)), F.lit(0))
-        most = F.col("na") - bits + F.when(F.col("pos") < F.col("own"), F.least("own", "oc")).otherwise(0)
+        only = lambda x, y: x.bitwiseAND(F.bitwise_not(y))
+        common = F.least(F.col("own") - _count(only, "marks", "mc"), F.col("oc") - _count(only, "mc", "marks"))
+        most = F.col("na") - _count(lambda x, y: x.bitwiseOR(y), "gaps", "gc") + F.when(F.col("pos") < F.col("own"), common).otherwise(0)
         fit &= most >= need
         new = ranked.join(stand, ["a", "token"]).where(fit).select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
         links = written(links.union(_confirmed(sets, new, percent)), "links")
