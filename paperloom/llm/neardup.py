@@ -164,6 +164,15 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return written(texts.mapInArrow(setter(size), "id long, shingles array<long>"), "sets")
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after more ``links`` (a, b): components of components, as few as the links join."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    every = written(labels.union(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("component"))), "labels")
+    name = lambda c: every.select(F.col("id").alias(c), F.col("component").alias(c + c))
+    joined = components(links.join(name("a"), "a").join(name("b"), "b").select(F.col("aa").alias("a"), F.col("bb").alias("b")))
+    return every.join(joined.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs`` (doc_id, text).
 
@@ -222,8 +231,9 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
         most = F.col("na") - _count(lambda x, y: x.bitwiseOR(y), "gaps", "gc") + F.when(F.col("pos") < F.col("own"), common).otherwise(0)
         fit &= most >= need
         new = ranked.join(stand, ["a", "token"]).where(fit).select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
-        links = written(links.union(_confirmed(sets, new, percent)), "links")
-        labels, asked = written(components(links), "labels"), more
+        asked, links = more, written(_confirmed(sets, new, percent), "links")
+        if not links.isEmpty():
+            labels = written(_relabelled(labels, links), "labels")
     by_set = equal.join(labels.withColumnsRenamed({"id": "rep"}), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.drop("bands").join(by_set, ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -117,9 +117,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> list[Line
     rows = features.labelled(docs, labels, "toxic", most).select("doc_id", *categories(F.col("text"), F.col("y")), "text")
     got = rows.mapInArrow(count, "doc_id long, " + ", ".join(f"{c} int" for c in CATEGORIES) + ", bucket array<int>").toArrow().sort_by("doc_id").combine_chunks()
     lists = [x.values.to_numpy() for x in got.column("bucket")]
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
     ys = np.column_stack([np.asarray(got.column(c).to_pylist(), np.int64) for c in CATEGORIES]) if len(lists) else np.zeros((0, len(CATEGORIES)), np.int64)
-    return fit_chain(np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64), row, len(lists), ys)
+    bucket = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+    # words of fewer texts are never chosen, in a part of the texts even less
+    often = np.bincount(bucket, minlength=BUCKETS) >= LEAST_DOCS
+    del got, lists
+    return fit_chain(bucket[often[bucket]], row[often[bucket]], len(ys), ys)
 
 
 def _distinct(part: np.ndarray, at: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
