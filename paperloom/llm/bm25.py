@@ -214,7 +214,7 @@ def held_items(index: Index, part: np.ndarray, at: np.ndarray, threshold: float,
     for r, item, score in index.search(hashes, row, len(at) - 1, threshold):
         if grams[0] != r:
             lo, hi = np.searchsorted(row, (r, r + 1))
-            grams = r, trigrams(hashes[lo:hi])
+            grams = r, np.concatenate([trigrams(hashes[lo:hi]), hashes[lo:hi]])  # parts of fewer than three terms match by terms
         question, answer = (_share(x, grams[1]) for x in index.parts[item])
         if question >= overlap and answer >= overlap:
             yield r, index.items[item], score, question, answer
