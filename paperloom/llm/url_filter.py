@@ -43,12 +43,22 @@ def pattern_rule(verdict: str, name: str, pattern: str, *tokens: str) -> Rule:
 
 #: The stated host rules.
 HOST_RULES = (host_rule("block", "net"), host_rule("allow", "example.net", "/en/"), host_rule("block", "example.com", "/de/"), host_rule("allow", "org", "/fr/"))
-#: The method's own rules, for URLs that no host rule fits: hosts with a label that sells or gambles.
+#: The method's own rules, for URLs that no host rule fits: the three labels that the query's SQL states.
 PATTERN_RULES = (
     pattern_rule("block", "spam-farm", r"^(?:[^/]*[.-])?spam-farm[.-]", "spam", "farm"),
     pattern_rule("block", "cheap-pills", r"^(?:[^/]*[.-])?cheap-pills[.-]", "cheap", "pills"),
     pattern_rule("block", "casino-win", r"^(?:[^/]*[.-])?casino-win[.-]", "casino", "win"),
 )
+#: Words that tell of a host's kind, each a whole token of the host (fixed values).
+KINDS = {
+    "gambling": "bet bets betting bookmaker casino casinos gambling jackpot poker roulette slots",
+    "adverts": "ads adserver adserving adverts popads track tracker tracking telemetry",
+    "adult": "adult camgirls escorts hentai porn porno sex xxx",
+    "pharmacy": "cialis levitra pills viagra xanax",
+    "link farms": "backlinks linkfarm linkfarms seolinks spam spammer",
+}
+#: Rules by kind, for callers that pass ``rules=HOST_RULES + KIND_RULES``; the registered query keeps to its SQL.
+KIND_RULES = tuple(pattern_rule("block", f"{kind}: {word}", rf"^(?:[^/?#]*[^a-z0-9/?#])?{word}(?:[^a-z0-9]|$)", word) for kind, words in KINDS.items() for word in words.split())
 
 
 def lower_ascii(c: Column) -> Column:

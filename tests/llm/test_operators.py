@@ -280,6 +280,15 @@ def test_html(spark):
     assert html_text.extract(rows.where("false")).count() == 0
 
 
+def test_url_rules_by_kind(spark):
+    """Hosts by the kind of what they offer, in words that the query's three labels don't have."""
+    urls = ["http://free-bets.com/", "http://ads-track.com/a", "http://x.adult-x.com", "http://cheap-pills.com/", "http://spam-farm.com/", "http://casino-win.com/", "http://my.poker.example:8080/x", "http://tracked.com/", "http://a.com/bets", "http://ads-track.org/fr/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.verdict, (r.pattern_rule or "").split(":")[0]) for r in url_filter.judge(rows, url_filter.HOST_RULES + url_filter.KIND_RULES).collect()}
+    block = [("block", k) for k in ("gambling", "adverts", "adult", "pharmacy", "link farms", "gambling", "gambling")]
+    assert [got[i] for i in range(len(urls))] == [*block, ("allow", ""), ("allow", ""), ("allow", "")]
+
+
 def test_url_rules(spark):
     urls = ["http://a.net/x", "https://WWW.Example.net/en/1", "http://example.net/de/", "http://shop.example.com/de/x?q", "http://example.com/en", "http://x.org/fr/", "http://forge.com/fr/", "http://netty.com/", "no address", None, "http://spam-farm.com/", "http://a.net", "x://b.org/fr"]
     rows = spark.createDataFrame([(i, u, "r") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, rule string")
