@@ -47,9 +47,10 @@ VOID = frozenset("area base br col hr img input link meta param source track wbr
 LEAVES = frozenset("p li dt dd td th tr option h1 h2 h3 h4 h5 h6".split())
 BLOCKS = LEAVES | OUTSIDE | frozenset("html body div article main section header ul ol dl table thead tbody tfoot caption blockquote pre figure figcaption address fieldset legend details summary center hr".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\s*=\s*"[^"]{0,8192}"|\s*=\s*'[^']{0,8192}'|[^>])*+)(?:>|\Z)""", re.S)
+# A quoted value ends at its quote, however long. One never closed is the last of its page, so at most one scan is in vain.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]++|=(?:\s*+(?:"[^"]*+"|'[^']*+'))?+)*+)(?:>|\Z)""", re.S)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in ("script", "style", "xmp", "noembed", "noframes")}
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
 _WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 

@@ -280,6 +280,14 @@ def test_html(spark):
     assert html_text.extract(rows.where("false")).count() == 0
 
 
+def test_html_long_attribute(quote):
+    """A '>' or a word such as hidden in a quoted value, however long, is neither text nor a mark; an open quote ends with its tag."""
+    inner = "<p class=ad hidden>The cat that was in the house of the man is not for the dog.</p>" * 2000
+    article = "The rain in the north was heavy and it is said that more of it will come by the end of the week."
+    assert html_text.main_text(f"<body><div data-json={quote}{inner}{quote} title=x><p>{article}</p></div></body>") == article
+    assert html_text.main_text(f"<body><div title={quote}x><p>{article}</p></div>" + "<b a=>" * 50_000) == article
+
+
 def test_url_rules_by_kind(spark):
     """Hosts by the kind of what they offer, in words that the query's three labels don't have."""
     urls = ["http://free-bets.com/", "http://ads-track.com/a", "http://x.adult-x.com", "http://cheap-pills.com/", "http://spam-farm.com/", "http://casino-win.com/", "http://my.poker.example:8080/x", "http://tracked.com/", "http://a.com/bets", "http://ads-track.org/fr/"]
