@@ -5,8 +5,8 @@ spans are long digit groups, hexadecimal or mixed keys, quoted values and capita
 (personal, not, or silent):
 
 * regex labelers look at the candidate's own form,
-* the gazetteer labeler looks its words up in lists of given names, secrets' names and place words,
-* context labelers look at the words before it.
+* the gazetteer labeler looks a capitalised candidate's first word up in a list of given names, and is silent on others,
+* context labelers look at the words before it, among them names of secrets and of numbers.
 
 How often each pattern of votes occurs is counted over all documents; there are at most ``3 ** labelers`` patterns, so
 these counts fit the driver. Expectation-maximisation estimates from them each labeler's reliability and the posterior
@@ -86,7 +86,7 @@ _CANDIDATE = re.compile(
     r"""|(?P<number>(?<![A-Za-z0-9.+-])[0-9]{1,4}(?:[ -]?[0-9]){7,17}(?![A-Za-z0-9]))"""
     r"""|(?P<name>(?<![A-Za-z])(?:[A-Z][a-z]{1,20}+ ){1,2}[A-Z][a-z]{1,20}+(?![A-Za-z]))"""
 )
-#: Gazetteer: given names, and words that head a secret or number (fixed values).
+#: Gazetteer: given names. Context: words that head a secret, number or name (fixed values).
 GIVEN = frozenset("james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen maria anna jean marie pierre hans peter jose carlos ana".split())
 SECRET_WORDS = frozenset("token secret key password passwd pwd api apikey bearer credential auth".split())
 NUMBER_WORDS = frozenset("ssn passport account acct iban licence license id tax phone tel mobile card member policy".split())
@@ -110,7 +110,7 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[list[int], list[f
     near = [w.lower() for w in before[-2:]]
     lead = text[max(0, start - 4) : start]
     digits = sum(c.isdigit() for c in s)
-    entropy = _entropy(s[:256])
+    entropy = _entropy(s)
     wanted = {"secret": SECRET_WORDS, "number": NUMBER_WORDS, "name": NAME_WORDS}[kind]
     plain = s.replace("-", "").replace(" ", "")
     if kind == "secret":

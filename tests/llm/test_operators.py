@@ -250,6 +250,14 @@ def test_personal_data(spark, odd):
     assert pii.redacted(odd).columns == odd.columns and pii.personal_data(odd.where("false")).count() == 0
 
 
+def test_long_key_is_judged_whole():
+    """A key that begins with a plain run: its entropy is that of all its characters."""
+    rest = "".join(np.random.default_rng(8).choice(list("abcdefghijkmnpqrstuvwxyz23456789"), size=2000))
+    text = "value a1" + "a1" * 140 + rest
+    cast, features = pii.votes("secret", text, 6, len(text))
+    assert cast[pii.LABELERS.index("entropy")] == 1 and features[5] > 4 / 6
+
+
 def test_reliabilities():
     """Labelers that agree are trusted, one that votes at random is not."""
     rng = np.random.default_rng(4)
