@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .shared import written
 
 WINDOW = 128
 THRESHOLD, OVERLAP = 0.5, 0.5
 K1, B = 1.2, 0.75
 BLOCK, COMMON = 4, 0.2
-#: Items of one index; more are searched index by index, each small enough to be sent to all executors.
-SHARD = 20_000
+#: Items and terms of one index, about; more are searched index by index, each small enough to be sent to all executors.
+#: Weights come from the counts of all items, so how they are dealt changes no score.
+SHARD, SHARD_TERMS = 20_000, 1_000_000
 
 _TERM = np.zeros(256, bool)
 _TERM[128:] = True
@@ -74,10 +77,18 @@ def _share(wanted: np.ndarray, there: np.ndarray) -> float:
     return float(np.isin(wanted, there).mean()) if len(wanted) else 1.0
 
 
+class Counts(NamedTuple):
+    """Pieces and terms of all items, and the pieces that hold a term, for the terms of one index at least."""
+
+    pieces: int
+    terms: int
+    df: dict[int, int]
+
+
 class Index:
-    """Postings of test pieces with block maxima."""
+    """Postings of test pieces with block maxima; ``counts`` where there are more items than these."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW, common: float = COMMON, block: int = BLOCK):
+    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW, common: float = COMMON, block: int = BLOCK, counts: Counts | None = None):
         self.window, self.block = window, block
         self.items, self.parts, pieces = [], [], []
         for item_id, text in items:
@@ -90,14 +101,16 @@ class Index:
                 pieces.append((len(self.items), Counter(t[i : i + window // 2].tolist())))
             self.items.append(item_id)
         self.owner = [k for k, _ in pieces]
-        df = Counter(h for _, c in pieces for h in c)
-        self.vocabulary = np.array(sorted(df), np.uint64)
+        if counts is None:
+            counts = Counts(len(pieces), sum(c.total() for _, c in pieces), Counter(h for _, c in pieces for h in c))
+        df, total = counts.df, counts.pieces
+        self.vocabulary = np.array(sorted({h for _, c in pieces for h in c}), np.uint64)
         number = {h: i for i, h in enumerate(self.vocabulary.tolist())}
-        mean = sum(c.total() for _, c in pieces) / max(len(pieces), 1)
+        mean = counts.terms / max(total, 1)
         postings: list[list[tuple[int, float]]] = [[] for _ in number]
         mass = np.zeros(len(pieces))
         for p, (_, c) in enumerate(pieces):
-            weight = {h: math.log(1 + (len(pieces) - df[h] + 0.5) / (df[h] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * c.total() / mean)) for h, n in c.items()}
+            weight = {h: math.log(1 + (total - df[h] + 0.5) / (df[h] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * c.total() / mean)) for h, n in c.items()}
             whole = sum(weight.values())
             for h in sorted(weight):
                 postings[number[h]].append((p, weight[h] / whole))
@@ -220,13 +233,44 @@ def held_items(index: Index, part: np.ndarray, at: np.ndarray, threshold: float,
             yield r, index.items[item], score, question, answer
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces and terms of each item (last column)."""
+    for batch in batches:
+        n = np.array([len(terms_of(x.as_py())) for x in batch.column(batch.num_columns - 1)], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(-(-n // (WINDOW // 2))), pa.array(n)], ["pieces", "terms"])
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms of each item (shard, text) and how many of its pieces hold each."""
+    for batch in batches:
+        for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            t = terms_of(text)
+            pairs = np.unique(np.column_stack([t, (np.arange(len(t)) // (WINDOW // 2)).astype(np.uint64)]), axis=0)
+            h, n = np.unique(pairs[:, 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["shard", "term", "n"])
+
+
 def indexes(items: DataFrame) -> Iterator[Index]:
-    """Indexes over all items, of about ``SHARD`` each; the driver holds one at a time."""
+    """Indexes over all items, of about ``SHARD`` and ``SHARD_TERMS`` each; the driver holds one at a time.
+
+    Pieces, terms and the pieces that hold a term are counted over all items in Spark; an index gets those of its terms.
+    Common terms are chosen by index: they steer the search only and change no score. An item is never split.
+    """
     slim = items.select("item_id", F.col("text").cast("string").alias("text"))
-    shards = -(-slim.count() // SHARD)
+    all_of = slim.mapInArrow(_sizes, "pieces long, terms long").agg(F.count("*").alias("n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pieces", "terms"))).first()
+    shards = max(-(-all_of["n"] // SHARD), -(-all_of["terms"] // SHARD_TERMS))
+    if shards > 1:
+        slim = slim.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+        here = slim.select("shard", "text").mapInArrow(_held, "shard long, term long, n long").groupBy("shard", "term").agg(F.sum("n").alias("n"))
+        here = written(here, "shard_terms")
+        df = written(here.select("shard", "term").join(here.groupBy("term").agg(F.sum("n").alias("df")), "term"), "term_counts")
     for k in range(shards):
-        part = slim.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k) if shards > 1 else slim
-        index = Index([(r.item_id, r.text) for r in part.orderBy("item_id", "text").toLocalIterator()])
+        part, counts = slim, None
+        if shards > 1:
+            part, got = slim.where(F.col("shard") == k), df.where(F.col("shard") == k).select("term", "df").toArrow()
+            h = got.column("term").to_numpy().view(np.uint64)
+            counts = Counts(all_of["pieces"], all_of["terms"], dict(zip(h.tolist(), got.column("df").to_pylist(), strict=True)))
+        index = Index([(r.item_id, r.text) for r in part.orderBy("item_id", "text").toLocalIterator()], counts=counts)
         if index.items:
             yield index
 

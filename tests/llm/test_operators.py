@@ -212,6 +212,21 @@ def test_decontamination(spark, odd):
     assert bm25.contaminated(rows, bench.where("false")).count() == 0 and bm25.contaminated(rows.where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize("bound", ["SHARD", "SHARD_TERMS"])
+def test_decontamination_scores_do_not_depend_on_shards(spark, monkeypatch, bound):
+    """Items dealt over several indexes, by their number or their terms, give the scores of one index."""
+    bench = table(spark, "benchmark").select("item_id", "text")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    docs = [(i, "filler words come first " * 9 + " ".join(t.split()[: 3 + len(t.split()) * 3 // 4])) for i, t in items]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    # a part of the items has words of its own kind, so counts differ from index to index
+    bench = bench.union(spark.createDataFrame([(1000 + i, f"filler words come{i} first and then more of the question{i}? One answer{i}.") for i in range(30)], bench.schema))
+    found = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in bm25.contaminated(rows, bench, threshold=0.3, overlap=0.1).collect())
+    whole = found()
+    monkeypatch.setattr(bm25, bound, 20 if bound == "SHARD" else 700)
+    assert len(list(bm25.indexes(bench))) > 1 and found() == whole and len(whole) >= 20
+
+
 # personal data
 
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
@@ -288,6 +303,7 @@ def test_html(spark):
     assert html_text.extract(rows.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("quote", ['"', "'"])
 def test_html_long_attribute(quote):
     """A '>' or a word such as hidden in a quoted value, however long, is neither text nor a mark; an open quote ends with its tag."""
     inner = "<p class=ad hidden>The cat that was in the house of the man is not for the dog.</p>" * 2000
