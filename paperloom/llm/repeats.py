@@ -14,7 +14,11 @@ grams and equal distances to them, so only segments of one anchor gram need a co
   share, then of a part's core and of the whole part, and of single starts only in parts of which the core repeats and
   the whole does not. So a member of a hot group makes a few rows where its repeated text ends, not one a byte.
 
+Hashes are told apart by 192 bits at least (gram and two of the content, or gram, two of the core and one of the start).
 Strings are judged on the input; removal is the union of all repeated strings.
+
+Passages are found the same way in another alphabet: a text becomes its words, each a code of ``CODE`` bytes, and a
+string of ``PASSAGE`` words is one of so many codes. They are only counted; what is removed are strings of bytes.
 """
 
 from __future__ import annotations
@@ -28,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import written
+from .shared import Scratch
 from .suffix_sort import deep_shallow_order
 
 #: Bytes of a repeated string, and of an anchor's gram.
 LENGTH, GRAM = 400, 64
 #: Distinct segments of one gram that a task sorts; larger groups are counted by hashes instead.
 GROUP = 64
+#: Words of a repeated passage and of an anchor's gram, and bytes of a word's code.
+PASSAGE, PASSAGE_GRAM, CODE = 51, 8, 4
 #: Starts in a cell, and in a part of a cell.
 CELL, PART = 32, 4
 #: Longer texts are worked on in pieces of so many starts.
@@ -159,7 +165,7 @@ def cutter(length: int, gram: int, cell: int, part: int):
             held = 0
             docs, keys, listed = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             for i in range(len(docs)):
-                text = batch.column(2)[i].as_py().encode() if batch.column(2)[i].is_valid else b""
+                text = batch.column(2)[i].as_buffer().to_pybytes() if batch.column(2)[i].is_valid else b""
                 for s in listed[i].as_py():
                     lo, n, a = s["lo"], s["n"], s["a"]
                     content = text[lo : lo + n - 1 + length]
@@ -264,24 +270,30 @@ def _spans(found: list[tuple]) -> pa.RecordBatch:
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """``doc, tkey, lo, hi``: runs of starts (bytes) in ``docs`` (doc, tkey, text) whose strings repeat; runs may overlap."""
-    found = written(docs.select("doc", "tkey", "text").mapInArrow(finder(length, gram), FOUND), "segments")
+    """``doc, tkey, lo, hi``: runs of starts (bytes) in ``docs`` (doc, tkey, text or bytes) whose strings repeat.
+
+    Runs may overlap. Rows of one doc and tkey have one text and one list of runs, however many they are. The runs are a
+    table in the shared folder; all other tables of the search are deleted.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.write(docs.select("doc", "tkey", "text").mapInArrow(finder(length, gram), FOUND), "segments")
     segs = found.where("gram IS NOT NULL")
     # counts only: which grams are met twice, and which contents
     contents = segs.groupBy("gram", "c1", "c2").agg(F.sum("times").alias("times"), *[F.first(c).alias(c) for c in ("doc", "tkey", "lo", "n", "a")])
-    contents = written(contents, "contents")
+    contents = scratch.write(contents, "contents")
     grams = contents.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
     multiple = contents.join(grams, "gram").withColumn("large", F.col("k") > group)
     listed = multiple.groupBy("doc", "tkey").agg(F.collect_list(F.struct("gram", "times", "lo", "n", "a", "large")).alias("listed"))
-    texts = docs.select("doc", "tkey", "text").join(listed, ["doc", "tkey"])
-    cut = written(texts.select("doc", "tkey", "text", "listed").mapInArrow(cutter(length, gram, CELL, PART), CUT), "cut")
+    # rows of one doc and tkey are equal: one is cut, and tasks drop others before the shuffle
+    texts = docs.select("doc", "tkey", "text").dropDuplicates(["doc", "tkey"]).join(listed, ["doc", "tkey"])
+    cut = scratch.write(texts.select("doc", "tkey", "text", "listed").mapInArrow(cutter(length, gram, CELL, PART), CUT), "cut")
     small = cut.where("content IS NOT NULL").select("doc", "tkey", "lo", "n", "a", "gram", "times", "content")
     by_sort = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(sorter(length, gram), SPAN)
     cells = cut.where("cell IS NOT NULL").select("doc", "tkey", "times", "gram", "cell", "k1", "k2", "parts")
     core = ["gram", "cell", "k1", "k2"]
     met = cells.groupBy(*core).agg(F.sum("times").alias("m")).where("m > 1").drop("m")
     parts = cells.join(met, core).select("doc", "tkey", "times", *core, F.explode("parts").alias("p")).select("doc", "tkey", "times", *core, "p.*")
-    parts = written(parts.withColumn("n", F.size("starts")).withColumn("whole", F.xxhash64("starts")), "parts")
+    parts = scratch.write(parts.withColumn("n", F.size("starts")).withColumn("whole", F.xxhash64("starts")), "parts")
     same = parts.groupBy(*core, "part", "n", "whole").agg(F.sum("times").alias("times"), F.first("core").alias("core"), F.first("starts").alias("starts")).where("times > 1")
     by_part = parts.where("times = 1").join(same.select(*core, "part", "n", "whole"), [*core, "part", "n", "whole"], "left_semi").select("doc", "tkey", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1).alias("hi"))
     inner = parts.groupBy(*core, "part", F.col("core")).agg(F.sum("times").alias("m")).where("m > 1").drop("m")
@@ -289,56 +301,98 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
     # a part met as a whole counts once more against the starts of parts that a segment's end cut short
     cols = [*core, "part", "times", "starts"]
     both = open_.select("doc", "tkey", "at", *cols).union(same.select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long"), *cols))
-    starts = written(both.select("doc", "tkey", "at", "times", *core, F.posexplode("starts").alias("i", "h")), "starts")
+    starts = scratch.write(both.select("doc", "tkey", "at", "times", *core, F.posexplode("starts").alias("i", "h")), "starts")
     twice = starts.groupBy(*core, "h").agg(F.sum("times").alias("m")).where("m > 1").drop("m")
     by_start = starts.where("times = 1").join(twice, [*core, "h"], "left_semi").select("doc", "tkey", (F.col("at") + F.col("i")).alias("lo"), (F.col("at") + F.col("i")).alias("hi"))
     equal = segs.join(contents.where("times > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"], "left_semi")
     known = found.where("gram IS NULL")
     whole = equal.unionByName(known).select("doc", "tkey", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
-    return whole.union(by_sort).union(by_part).union(by_start)
+    every = whole.union(by_sort).union(by_part).union(by_start)
+    # equal rows find the same runs: of each start the longest is enough, and tasks see to that before the shuffle
+    out = scratch.write(every.groupBy("doc", "tkey", "lo").agg(F.max("hi").alias("hi")), "spans")
+    scratch.drop(found, contents, cut, parts, starts)
+    return out
+
+
+def coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as the codes of their words, one after the other."""
+    for batch in batches:
+        for first, part, at in tb.runs(*tb.strings(batch.column(2))):
+            start, end, row = tb.words(part, at)
+            codes = (tb.Slices(part).hashes(start, end) >> np.uint64(64 - 8 * CODE)).astype(f"<u{CODE}")
+            offsets = np.searchsorted(row, np.arange(len(at))).astype(np.int32) * CODE
+            coded = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(codes)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(at) - 1) for i in (0, 1)), coded], ["doc", "tkey", "text"])
+
 
+def passages(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE_GRAM, group: int = GROUP) -> DataFrame:
+    """``spans`` of the words' codes of ``docs`` (doc, tkey, text): runs of ``words`` words and more that occur again."""
+    return spans(docs.select("doc", "tkey", "text").mapInArrow(coder, "doc long, tkey long, text binary"), words * CODE, gram * CODE, group)
 
-def remover(length: int, content: bool):
+
+def _runs(lows: pa.Scalar, highs: pa.Scalar, length: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes (from, to) that strings of ``length`` cover."""
+    if not lows.is_valid or not len(lows):
+        return []
+    lo, hi = lows.values.to_numpy(), highs.values.to_numpy() + length
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    new = np.ones(len(lo), bool)
+    new[1:] = lo[1:] > hi[:-1]
+    first = np.flatnonzero(new)
+    return list(zip(lo[first].tolist(), hi[np.append(first[1:], len(lo)) - 1].tolist(), strict=True))
+
+
+def remover(length: int, words: int, content: bool):
     """Documents without their repeated bytes, with what is left if ``content``."""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_bytes, n_removed, n_spans, sha, kept = [], [], [], [], []
-            ids, texts, lows, highs = (batch.column(i) for i in range(4))
+            numbers, sha, kept = [], [], []
+            ids, texts, lows, highs, first, last = (batch.column(i) for i in range(6))
             for i in range(len(batch)):
-                text = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
-                at, parts, removed, count = 0, [], 0, 0
-                if lows[i].is_valid and len(lows[i]):
-                    lo, hi = lows[i].values.to_numpy(), highs[i].values.to_numpy() + length
-                    order = np.argsort(lo, kind="stable")
-                    lo, hi = lo[order], np.maximum.accumulate(hi[order])
-                    new = np.ones(len(lo), bool)
-                    new[1:] = lo[1:] > hi[:-1]
-                    first = np.flatnonzero(new)
-                    for a, b in zip(lo[first].tolist(), hi[np.append(first[1:], len(lo)) - 1].tolist(), strict=True):
-                        parts.append(text[at:a])
-                        at, removed, count = b, removed + b - a, count + 1
-                parts.append(text[at:])
-                rest = b"".join(parts)
-                n_bytes.append(len(text)), n_removed.append(removed), n_spans.append(count), sha.append(hashlib.sha256(rest).hexdigest())
-                if content:
-                    kept.append(rest)
-            columns = [ids, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary())] if content else columns, [*names, "kept"] if content else names)
+                text = texts[i].as_buffer() if texts[i].is_valid else pa.py_buffer(b"")
+                at, digest, parts, gone = 0, hashlib.sha256(), [], _runs(lows[i], highs[i], length)
+                for a, b in [*gone, (text.size, text.size)]:
+                    digest.update(text.slice(at, a - at))
+                    if content:
+                        parts.append(text.slice(at, a - at).to_pybytes())
+                    at = b
+                # a run of codes may reach into words on both sides that differ
+                held = [b // CODE - -(-a // CODE) for a, b in _runs(first[i], last[i], words * CODE)]
+                held = [n for n in held if n >= words]
+                numbers.append((text.size, sum(b - a for a, b in gone), len(gone), len(held), sum(held)))
+                sha.append(digest.hexdigest())
+                kept.append(b"".join(parts))
+            n_bytes, n_removed, n_spans, *held = (pa.array(c, pa.int64()) for c in zip(*numbers, strict=True)) if numbers else [pa.array([], pa.int64())] * 5
+            columns = [ids, n_bytes, n_removed, n_spans, pa.array(sha, pa.string()), *held, *([pa.array(kept, pa.binary())] if content else [])]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in OUT.split(", ")][: len(columns)])
 
     return remove
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, content: bool = True) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (bytes, if ``content``) for each row of ``docs`` (doc_id, text).
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long, kept binary"
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, words: int = PASSAGE, content: bool = True) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words, kept`` for each row of ``docs`` (doc_id, text).
+
+    ``kept`` are the bytes that are left, given if ``content``. ``n_passages`` counts the maximal runs of words that
+    ``words`` successive words cover which occur again anywhere, whatever blanks part them, and ``n_passage_words``
+    their words; they are not removed unless their bytes are (a word is told by 32 bits here).
 
     A null text is empty. Rows are documents of their own: rows that repeat a doc_id and text repeat each other's bytes.
     A null doc_id is a value like others. A cut may part a multi-byte character, so ``kept`` is binary. Texts shorter
-    than ``length`` lose nothing. An empty table gives an empty result. Other columns are not used.
+    than ``length`` bytes and ``words`` words lose nothing and hold no passage. Texts are worked on whole, however long.
+    An empty table gives an empty result. Other columns are not used.
     """
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc"), F.xxhash64("doc_id", "text").alias("tkey"))
-    found = spans(keyed, length, gram, group)
-    lists = found.groupBy("doc", "tkey").agg(F.collect_list("lo").alias("lows"), F.collect_list("hi").alias("highs"))
-    joined = keyed.join(lists, ["doc", "tkey"], "left").select("doc_id", "text", "lows", "highs")
-    return joined.mapInArrow(remover(length, content), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * content)
+    text = F.col("text").cast("string")
+    keyed = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.xxhash64("doc_id", text).alias("tkey"))
+    # a text of fewer bytes than either kind of string takes no part, and its row needs no join
+    long = F.coalesce(F.octet_length("text") >= min(length, 2 * words - 1), F.lit(False))
+    both = spans(keyed.where(long), length, gram, group).withColumn("bytes", F.lit(True)).union(passages(keyed.where(long), words, group=group).withColumn("bytes", F.lit(False)))
+    lists = both.groupBy("doc", "tkey").agg(*(F.collect_list(F.when(F.col("bytes") == kind, F.col(c))).alias(f"{c}{kind}") for kind in (True, False) for c in ("lo", "hi")))
+    given = ["doc_id", "text", "loTrue", "hiTrue", "loFalse", "hiFalse"]
+    none = F.lit(None).cast("array<long>")
+    joined = keyed.where(long).join(lists, ["doc", "tkey"], "left").select(*given).union(keyed.where(~long).select("doc_id", "text", none, none, none, none))
+    return joined.select(F.col("doc_id").cast("long"), *given[1:]).mapInArrow(remover(length, words, content), OUT if content else OUT.rpartition(", ")[0])

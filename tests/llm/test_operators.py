@@ -134,6 +134,45 @@ def test_repeats_in_hot_groups(spark, group):
     assert got == removed({d: t.encode() for d, t in docs.items()}, 400)
 
 
+def passages(docs: dict, size: int) -> dict:
+    """Maximal runs of words that repeated strings of ``size`` words cover, and their words."""
+    words = {d: re.findall(rb"[^\x20\x09-\x0D]+", b) for d, b in docs.items()}
+    seen = Counter(tuple(w[i : i + size]) for w in words.values() for i in range(len(w) - size + 1))
+    out = {}
+    for d, w in words.items():
+        held = np.zeros(len(w), int)
+        for i in range(len(w) - size + 1):
+            if seen[tuple(w[i : i + size])] > 1:
+                held[i : i + size] = 1
+        out[d] = (int((np.diff(np.concatenate([[0], held])) == 1).sum()), int(held.sum()))
+    return out
+
+
+def test_repeated_passages(spark):
+    """Over 50 words that occur again, other blanks between them too, are a passage also where their bytes are fewer than 400."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefg"), size=rng.integers(2, 7)))
+    shared = [word() for _ in range(60)]
+    docs = {}
+    for i in range(30):
+        n = int(rng.integers(48, 61))
+        docs[i] = " ".join(word() for _ in range(rng.integers(0, 40))) + " " + ("\n" if i % 2 else " ").join(shared[60 - n :]) + " " + " ".join(word() for _ in range(rng.integers(0, 40)))
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_passages, r.n_passage_words) for r in repeats.without_repeats(rows).collect()}
+    want = passages({d: t.encode() for d, t in docs.items()}, 51)
+    assert got == want and 10 < sum(n > 0 for n, _ in want.values()) < 30
+    got = {r.doc_id: (r.n_passages, r.n_passage_words) for r in queries.op10_suffix_array(spark, SMALL).collect()}
+    assert got == passages({d: t.encode() for d, t in texts(spark, SMALL).items()}, 51)
+
+
+def test_repeats_in_equal_rows(spark):
+    """Ten thousand rows of one id and text: each is a document, and their runs are found once."""
+    text = " ".join(f"word{i}" for i in range(90))
+    rows = spark.range(10_000).selectExpr("1L AS doc_id", f"'{text}' AS text").union(spark.createDataFrame([(2, "x" + text[5:] + "y"), (3, text[:300])], "doc_id long, text string"))
+    got = Counter(tuple(r)[:4] for r in repeats.without_repeats(rows, content=False).collect())
+    assert got == {(1, len(text), len(text), 1): 10_000, (2, len(text) - 3, len(text) - 5, 1): 1, (3, 300, 0, 0): 1}
+
+
 def test_repeats_odd(spark, odd):
     got = repeats.without_repeats(odd).collect()
     assert len(got) == odd.count() and {r.n_removed for r in got if r.doc_id in (8, 9)} == {1000} and sum(r.n_bytes == 0 for r in got) == 3
