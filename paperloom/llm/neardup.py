@@ -11,7 +11,8 @@ a bucket are still in different components, two members that link share a shingl
 fixed order (prefix filter with positions). The order puts the centre's shingles last, so what all members have in common
 deals nobody together; lists of members by such a shingle are small buckets, which get stars too, with more and more of
 their members as centres, against members of other components only, until each list is one component or all its members
-have been centres: no link of a bucket is lost.
+have been centres: no link of a bucket is lost. Buckets, lists and groups of equal sets with many members are dealt out to
+several tasks wherever a table is joined to their members.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .shared import written
+from .shared import Salted, Scratch
 
 BANDS, ROWS = 60, 6
 #: Shingle words and least similarity in per cent, unless a caller says otherwise.
@@ -75,7 +76,7 @@ def signer(size: int, bands: int, rows: int):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = tb.strings(batch.column(1))
+            buf, offsets = tb.strings(batch.column(2))
             for first, part, at in tb.runs(buf, offsets):
                 n = len(at) - 1
                 h, row = _distinct(*tb.shingles(part, at, size))
@@ -92,8 +93,8 @@ def signer(size: int, bands: int, rows: int):
                     key = tb.mixed(key * np.uint64(0x9E3779B97F4A7C15) ^ sig[:, :, i])
                 lists = pa.ListArray.from_arrays(pa.array(np.where(count > 0, bands, 0).cumsum() - np.where(count > 0, bands, 0), pa.int32()).tolist() + [int((count > 0).sum()) * bands], pa.array(np.ascontiguousarray(key[count > 0]).view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(count, pa.int64()), pa.array(_sums(tb.mixed(h ^ np.uint64(1)), row, n).view(np.int64)), pa.array(_sums(tb.mixed(h ^ np.uint64(2)), row, n).view(np.int64)), lists],
-                    ["doc_id", "n", "d1", "d2", "bands"],
+                    [*(batch.column(i).slice(first, n) for i in (0, 1)), pa.array(count, pa.int64()), pa.array(_sums(tb.mixed(h ^ np.uint64(1)), row, n).view(np.int64)), pa.array(_sums(tb.mixed(h ^ np.uint64(2)), row, n).view(np.int64)), lists],
+                    ["doc_id", "tkey", "n", "d1", "d2", "bands"],
                 )
 
     return sign
@@ -159,18 +160,38 @@ def _lists(docs_sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     return counted.select("a", "na", "id", "n", "own", "gaps", "marks", F.posexplode("first").alias("pos", "token"))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    texts = docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return written(texts.mapInArrow(setter(size), "id long, shingles array<long>"), "sets")
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
+
+
+def _sets(scratch: Scratch, docs: DataFrame, equal: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """Sorted shingle sets by ``id``, each from the very text of its representative; tasks drop equal rows before the shuffle."""
+    wanted = equal.join(ids, "id", "left_semi").select("id", "doc_id", "tkey")
+    texts = _keyed(docs).dropDuplicates(["doc_id", "tkey"]).join(wanted, ["doc_id", "tkey"]).select("id", "text")
+    return scratch.write(texts.mapInArrow(setter(size), "id long, shingles array<long>"), "sets")
 
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _relabelled(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (id, component) after more ``links`` (a, b): components of components, as few as the links join."""
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    every = written(labels.union(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("component"))), "labels")
+    every = scratch.write(labels.union(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("component"))), "labels")
     name = lambda c: every.select(F.col("id").alias(c), F.col("component").alias(c + c))
-    joined = components(links.join(name("a"), "a").join(name("b"), "b").select(F.col("aa").alias("a"), F.col("bb").alias("b")))
-    return every.join(joined.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+    joined = components(scratch, links.join(name("a"), "a").join(name("b"), "b").select(F.col("aa").alias("a"), F.col("bb").alias("b")))
+    found = every.join(joined.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+    found = scratch.write(found, "labels")
+    scratch.drop(every, labels, joined)
+    return found
+
+
+def _of_one_document(real: DataFrame, equal: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of rows that repeat a doc_id with another set."""
+    key = F.xxhash64("n", "d1", "d2")
+    several = real.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo < hi").select("doc_id")
+    sets = ["n", "d1", "d2"]
+    named = real.join(several, "doc_id", "left_semi").select("doc_id", *sets).distinct().join(equal.select("id", *sets), sets)
+    first = named.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return named.join(first, "doc_id").where("a < id").select("a", F.col("id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -178,24 +199,32 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
 
     ``component_id`` is the smallest doc_id reachable over links, ``kept`` says that it is the row's own. Null and empty
     texts and texts of blanks have no shingles, link with nothing and are kept. A doc_id names one document: rows that
-    repeat it are in one component. Rows with a null doc_id have a null component and are kept. Columns beyond doc_id
-    and text are not used. An empty table gives an empty result.
+    repeat it, with the same text or others, are in one component and link by each of their texts. Rows with a null
+    doc_id have a null component, link with nothing and are kept. Texts are worked on whole, however long. Columns
+    beyond doc_id and text are not used. An empty table gives an empty result, in any order of rows the same.
     """
-    signed = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(signer(size, bands, rows), "doc_id long, n long, d1 long, d2 long, bands array<long>"), "signatures")
-    equal = written(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "equal")
-    reps = signed.where("doc_id IS NOT NULL").select("doc_id", "n", "bands").join(equal.select(F.col("rep").alias("doc_id"), "n"), ["doc_id", "n"], "left_semi")
-    dealt = reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    met = written(dealt.join(shared, "bucket"), "met")
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.write(_keyed(docs).mapInArrow(signer(size, bands, rows), "doc_id long, tkey long, n long, d1 long, d2 long, bands array<long>"), "signatures")
+    real = signed.where("n > 0 AND doc_id IS NOT NULL")
+    # a row for each set: the representative is a row of the smallest id, and id is the set's own number
+    first = F.min(F.struct("doc_id", "tkey")).alias("r")
+    equal = real.groupBy("n", "d1", "d2").agg(first, F.count("*").alias("m"), F.first("bands").alias("bands"))
+    equal = scratch.write(equal.select(F.monotonically_increasing_id().alias("id"), "n", "d1", "d2", "m", "r.*", "bands"), "equal")
+    dealt = equal.select("id", "n", F.explode("bands").alias("bucket"))
+    shared = scratch.write(dealt.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    by_bucket = Salted(shared, ["bucket"], shared.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0])
+    met = scratch.write(by_bucket.join(dealt, "id", shared), "met")
     popular = met.groupBy("id").agg(F.sum("m").alias("mates"))
-    known = written(met.join(popular, "id"), "known")
+    known = scratch.write(met.join(popular, "id"), "known")
     centres = known.groupBy("bucket").agg(F.max(F.struct("mates", -F.col("id"), "n")).alias("c")).select("bucket", (-F.col("c.col2")).alias("a"), F.col("c.n").alias("na"))
-    tied = written(known.join(centres, "bucket").where("a <> id").select("bucket", "m", "a", "na", "id", "n"), "tied")
+    tied = scratch.write(by_bucket.join(known, "id", centres).where("a <> id").select("bucket", "m", "a", "na", "id", "n"), "tied")
+    scratch.drop(met, known)
     ordered = (F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
     pairs = tied.where(_close("na", "n", percent)).select(*ordered).distinct()
-    sets = _sets(docs, tied.select(F.explode(F.array("a", "id")).alias("id")).distinct(), size)
-    links = written(_confirmed(sets, pairs, percent), "links")
-    labels = written(components(links), "labels")
+    sets = _sets(scratch, docs, equal, tied.select(F.explode(F.array("a", "id")).alias("id")).distinct(), size)
+    links = scratch.write(_confirmed(sets, pairs, percent).union(_of_one_document(real, equal)), "links")
+    labels = components(scratch, links)
+    scratch.drop(links)
 
     def labelled(members: DataFrame) -> DataFrame:
         return members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
@@ -203,14 +232,16 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     mixed = (F.min("label").alias("lo"), F.max("label").alias("hi"))
     now = labelled(tied.where("m > 2"))
     split = now.groupBy("bucket").agg(*mixed).where("lo < hi").select("bucket")
-    stars = written(now.join(split, "bucket", "left_semi").select("a", "id", "n").distinct(), "stars")
-    lists, asked = written(_lists(sets, stars, percent), "lists"), 0
-    while True:
+    stars = scratch.write(by_bucket.join(now, "id", split).select("a", "id", "n").distinct(), "stars")
+    scratch.drop(tied, shared)
+    lists, asked = scratch.write(_lists(sets, stars, percent), "lists"), 0
+    while n_rows := lists.count():
+        before, list_of = lists, ["a", "token"]
         now = labelled(lists)
-        open_ = now.groupBy("a", "token").agg(F.count("*").alias("m"), *mixed).where((F.col("lo") < F.col("hi")) & (F.col("m") > asked)).select("a", "token", "m")
-        lists = written(lists.drop("m").join(open_, ["a", "token"]), "lists")
-        if lists.isEmpty():
-            break
+        open_ = now.groupBy(*list_of).agg(F.count("*").alias("m"), *mixed).where((F.col("lo") < F.col("hi")) & (F.col("m") > asked)).select(*list_of, "m")
+        lists = scratch.write(Salted(open_, list_of, n_rows).join(lists.drop("m"), "id", open_), "lists")
+        scratch.drop(before)
+        by_list = Salted(lists.select(*list_of, "m").distinct(), list_of, n_rows)
         more = 8 * asked if asked else 1
         if asked:
             # each member's turn comes by its hash; when ``more`` is a list's size, all have had it
@@ -219,10 +250,11 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
             stand = ranked.where((F.col("turn") >= (asked if asked > 1 else 0)) & (F.col("turn") < more))
         else:
             mates = lists.groupBy("a", "id").agg(F.sum("m").alias("mates"))
-            ranked = labelled(lists).join(mates, ["a", "id"]).withColumn("turn", F.lit(0.0))
-            best = ranked.groupBy("a", "token").agg(F.max(F.struct("mates", -F.col("id"))).alias("c")).select("a", "token", (-F.col("c.col2")).alias("id"))
-            stand = ranked.join(best, ["a", "token", "id"], "left_semi")
-        stand = stand.select("a", "token", F.col("id").alias("c"), F.col("n").alias("nc"), F.col("pos").alias("pc"), F.col("own").alias("oc"), F.col("gaps").alias("gc"), F.col("marks").alias("mc"), F.col("label").alias("lc"))
+            ranked = labelled(lists).join(mates, ["a", "id"])
+            # the member with most mates stands: its own row is what is wanted of it
+            best = F.max(F.struct("mates", -F.col("id"), "id", "n", "pos", "own", "gaps", "marks", "label")).alias("c")
+            stand = ranked.groupBy(*list_of).agg(best).select(*list_of, "c.id", "c.n", "c.pos", "c.own", "c.gaps", "c.marks", "c.label")
+        stand = stand.select(*list_of, F.col("id").alias("c"), F.col("n").alias("nc"), F.col("pos").alias("pc"), F.col("own").alias("oc"), F.col("gaps").alias("gc"), F.col("marks").alias("mc"), F.col("label").alias("lc"))
         need = _least_shared(F.col("n"), F.col("nc"), percent)
         fit = (F.col("id") != F.col("c")) & (F.col("label") != F.col("lc")) & _close("n", "nc", percent) & (F.col("pos") <= F.col("n") - need) & (F.col("pc") <= F.col("nc") - need)
         # what two members share of the centre, and, if their first common shingle is not the centre's, of their own
@@ -230,11 +262,19 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
         common = F.least(F.col("own") - _count(only, "marks", "mc"), F.col("oc") - _count(only, "mc", "marks"))
         most = F.col("na") - _count(lambda x, y: x.bitwiseOR(y), "gaps", "gc") + F.when(F.col("pos") < F.col("own"), common).otherwise(0)
         fit &= most >= need
-        new = ranked.join(stand, ["a", "token"]).where(fit).select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
-        asked, links = more, written(_confirmed(sets, new, percent), "links")
+        new = by_list.join(ranked, "id", stand).where(fit).select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
+        asked, links = more, scratch.write(_confirmed(sets, new, percent), "links")
         if not links.isEmpty():
-            labels = written(_relabelled(labels, links), "labels")
-    by_set = equal.join(labels.withColumnsRenamed({"id": "rep"}), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.drop("bands").join(by_set, ["n", "d1", "d2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+            labels = _relabelled(scratch, labels, links)
+        scratch.drop(links)
+    # a component's name is the smallest doc_id of its sets
+    smallest = labels.join(equal.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    key = ["n", "d1", "d2"]
+    by_set = scratch.write(equal.join(labels.join(smallest, "component").select("id", "component_id"), "id", "left").select(*key, "m", F.coalesce("component_id", "doc_id").alias("component_id")), "by_set")
+    scratch.drop(sets, stars, lists, labels, equal)
+    by_key = Salted(by_set.select(*key, "m"), key, signed.count())
+    out = by_key.join(real.select("doc_id", *key), "doc_id", by_set.drop("m"))
+    # rows without words or id need no join
+    alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return out.select("doc_id", "n", "component_id").union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import bm25, html_text, mixing, neardup, pii, quality, queries, repeats, suffix_sort, topk, toxicity, url_filter
+from paperloom.llm import bm25, html_text, mixing, neardup, pii, quality, queries, repeats, shared, suffix_sort, topk, toxicity, url_filter
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, n int, size string, row int, bucket string, score string, label string, tkey int"
@@ -91,6 +91,33 @@ def test_near_duplicates_in_a_group_around_a_late_centre(spark):
     assert got == components(docs, 4)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """A row that repeats an id with another text links by that text, whatever the order of rows."""
+    long = " ".join(f"w{i}" for i in range(100))
+    near = " ".join(["v0", *(f"w{i}" for i in range(1, 100))])
+    rows = [(7, "short text of seven words for it"), (7, long), (9, near), (3, "short text of seven words for it"), (7, ""), (8, "of another kind altogether it is"), (9, near)]
+    want = sorted([(7, 3), (7, 3), (9, 3), (9, 3), (3, 3), (7, 7), (8, 8)])
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        for parts in (1, 3):
+            assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(df.repartition(parts), size=4).collect()) == want
+
+
+def test_near_duplicates_with_hot_groups(spark, monkeypatch):
+    """The same when keys of ten rows already count as hot."""
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    rng = np.random.default_rng(11)
+    base, docs = [f"w{i}" for i in range(60)], {}
+    for i in range(120):
+        w = list(base)
+        for k in rng.choice(60, size=int(rng.integers(0, 4)), replace=False):
+            w[k] = f"v{rng.integers(30)}"
+        docs[i] = " ".join(w) if i < 90 else ["", "the same few words"][i % 2]
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(rows, size=4).collect()}
+    assert got == components(docs, 4)
+
+
 def test_near_duplicates_odd(spark, odd):
     got = sorted((r.doc_id or 0, r.n_shingles > 0, r.component_id, r.kept) for r in neardup.near_duplicates(odd).collect())
     assert [g for g in got if g[0] in (0, 4)] and (6, True, 5, False) in got and (9, True, 8, False) in got and (1, False, 1, True) in got
