@@ -2,9 +2,11 @@
 
 A page is cut into blocks at block-level tags. In the first pass a block is decided by where it stands (menus, footers,
 forms, adverts, comments and the like are out), by its link density, and by its length with its density of stop words:
-running text is in, lists of links and long text without stop words are out. Short blocks stay ambiguous. In the second
-pass each ambiguous block takes the label of the nearest decided block of its own container, or else of the nearest
-decided block at all. Every page is read whole, in time linear in its length.
+running text is in, lists of links and long text without stop words are out. Inside an element that holds the article,
+text without stop words is out only if a part of it is links, as articles have tables and code. Short blocks stay
+ambiguous. In the second pass each ambiguous block takes the label of the nearest block of its own container that was
+decided by what it says, so that the head of a list of links goes with its list; of two as near, one that is in counts.
+Outside a container it is the nearest decided block at all. Every page is read whole, in time linear in its length.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 #: Characters of a block that can be decided by stop words, and of one for which fewer suffice.
 SHORT, LONG = 60, 120
 MANY_STOPS, SOME_STOPS, FEW_STOPS = 0.2, 0.12, 0.02
-MOST_LINKS = 0.5
+#: Share of a block in links that puts it out, and that does so inside an article if it has no stop words.
+MOST_LINKS, SOME_LINKS = 0.5, 0.2
 
 #: Stop words of English, French, German and Spanish (fixed values).
 STOPS = frozenset("""
@@ -75,16 +78,18 @@ def mark(name: str, attributes: str, inside: bool) -> int:
 
 
 class Block:
-    __slots__ = ("home", "label", "linked", "text")
+    """``out``: its place decides; ``home``: number of the article that it is in, 0 outside one; ``linked``: characters in links."""
+
+    __slots__ = ("home", "label", "out", "text")
 
     def __init__(self, text: str, linked: int, out: bool, home: int):
-        self.text, self.linked, self.home = text, linked, home
-        self.label = decided(text, linked, out, home)
+        self.text, self.out, self.home = text, out, home
+        self.label = -1 if out else decided(text, linked, home)
 
 
-def decided(text: str, linked: int, out: bool, home: int) -> int:
-    """First pass: 1 in, -1 out, 0 ambiguous. ``linked``: characters in links; ``home``: number of the article, 0 outside one."""
-    if out or linked > MOST_LINKS * len(text):
+def decided(text: str, linked: int, home: int) -> int:
+    """First pass: 1 in, -1 out, 0 ambiguous."""
+    if linked > MOST_LINKS * len(text):
         return -1
     if len(text) < SHORT:
         return 0
@@ -92,7 +97,7 @@ def decided(text: str, linked: int, out: bool, home: int) -> int:
     density = sum(w in STOPS for w in words) / max(len(words), 1)
     if density >= (SOME_STOPS if len(text) >= LONG else MANY_STOPS):
         return 1
-    return -1 if density < FEW_STOPS and len(text) >= LONG and not home else 0
+    return -1 if density < FEW_STOPS and (linked > SOME_LINKS * len(text) if home else len(text) >= LONG) else 0
 
 
 def blocks(html: str) -> list[Block]:
@@ -189,7 +194,7 @@ def main_blocks(found: list[Block]) -> list[str]:
             b = found[i]
             if b.label:
                 last = i
-                if b.label > 0 or not b.home:
+                if not b.out:
                     by_home[b.home] = i
             elif b.home:
                 if b.home in by_home:
@@ -198,7 +203,7 @@ def main_blocks(found: list[Block]) -> list[str]:
                 best[i].append((abs(i - last), -found[last].label))
     out = []
     for b, near in zip(found, best, strict=True):
-        # in a container that holds an article without any decided block, short text is the article
+        # of a container in which nothing is decided, short text is the article
         label = b.label or (-min(near)[1] if near else (1 if b.home or n == 1 else -1))
         if label > 0:
             out.append(b.text)
@@ -212,8 +217,9 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages`` (page_id, url, html).
 
-    A null or empty html, and one without text, gives an empty text. Broken markup is read as far as it goes. Repeated
-    rows get equal results; null ids and urls stay null. Other columns are not used. An empty table gives an empty result.
+    A null or empty html, and one without text, gives an empty text. Broken markup is read as far as it goes, and a page
+    whole, however long. Repeated rows get equal results; null ids and urls stay null. Other columns are not used, also
+    if they are named like the result's. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
