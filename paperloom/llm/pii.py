@@ -1,24 +1,26 @@
 """Personal data: base patterns, and more spans by weak supervision.
 
 Four kinds follow fixed patterns (email, ip, card, phone) and are final. The method adds spans of other kinds. Candidate
-spans are long digit groups, hexadecimal or mixed keys, quoted values and capitalised pairs; labelers vote on each
-(personal, not, or silent):
+spans are long digit groups, hexadecimal or mixed keys and capitalised pairs; labelers vote on each (personal, not, or
+silent):
 
-* regex labelers look at the candidate's own form,
-* the gazetteer labeler looks a capitalised candidate's first word up in a list of given names, and is silent on others,
-* context labelers look at the words before it, among them names of secrets and of numbers.
+* regex labelers look at the candidate's own form and at the variety of its characters,
+* the gazetteer labeler looks names up in a list of given names, and keys in a list of words that fill a blank,
+* context labelers look at the words before it, among them names of secrets and of numbers, at what assigns it, and at
+  where its sentence begins.
 
 How often each pattern of votes occurs is counted over all documents; there are at most ``3 ** labelers`` patterns, so
 these counts fit the driver. Expectation-maximisation estimates from them each labeler's reliability and the posterior
-of every pattern. A logistic span classifier is then trained on the posteriors of a bounded sample of candidates and
-decides on all of them by features that the labelers don't see alone (shape, length, neighbours). Votes that nobody cast
-leave a candidate unlabelled: it is not in the training sample, but the classifier judges it.
+of every pattern. A logistic span classifier is then trained on the posteriors of a bounded sample of candidates that
+somebody voted on, and decides on all. It doesn't see votes: its features are shape, length, and the hashed words on
+both sides, so it also takes candidates that no labeler knows. Where nobody votes on any candidate, none is taken.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,15 +88,32 @@ _CANDIDATE = re.compile(
     r"""|(?P<number>(?<![A-Za-z0-9.+-])[0-9]{1,4}(?:[ -]?[0-9]){7,17}(?![A-Za-z0-9]))"""
     r"""|(?P<name>(?<![A-Za-z])(?:[A-Z][a-z]{1,20}+ ){1,2}[A-Z][a-z]{1,20}+(?![A-Za-z]))"""
 )
-#: Gazetteer: given names. Context: words that head a secret, number or name (fixed values).
-GIVEN = frozenset("james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen maria anna jean marie pierre hans peter jose carlos ana".split())
+#: Gazetteers: given names, and words of keys that stand for one to be filled in (fixed values).
+GIVEN = frozenset("""
+james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica
+thomas sarah charles karen christopher nancy daniel lisa matthew margaret anthony sandra mark ashley donald kimberly
+steven emily paul donna andrew michelle joshua carol kenneth amanda kevin melissa brian deborah george stephanie
+maria anna jean marie pierre hans peter jose carlos ana luis juan miguel antonio manuel francisco javier carmen isabel
+lucia elena sofia pablo diego jacques francois nicolas camille claire sophie julie louis henri philippe klaus jurgen
+wolfgang heike sabine monika ursula stefan andreas markus katrin birgit giulia marco luca paolo francesca
+""".split())
+FILLERS = frozenset("example changeme placeholder sample dummy lorem test your xxxx abcdef".split())
+#: Context: words that head a secret, number or name (fixed values).
 SECRET_WORDS = frozenset("token secret key password passwd pwd api apikey bearer credential auth".split())
 NUMBER_WORDS = frozenset("ssn passport account acct iban licence license id tax phone tel mobile card member policy".split())
 NAME_WORDS = frozenset("mr mrs ms dr name contact dear signed by".split())
-_BEFORE = re.compile(r"[A-Za-z]+")
+#: And words that head plain numbers, and titles that are part of a name.
+PLAIN_WORDS = frozenset("order invoice item page part version issue ticket chapter figure table serial sku lot build".split())
+TITLES = frozenset("mr mrs ms dr prof sir".split())
+#: Heads of keys that services give out (fixed values).
+_ISSUED = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|sk-|xox[abp]-|AIza|eyJ)")
+_WORD = re.compile(r"[A-Za-z]+")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+_SENTENCE = re.compile(r"(?:^|[.!?\n])\s*$")
 
-LABELERS = ("form", "entropy", "gazetteer", "word_before", "assigned", "common_words")
+LABELERS = ("form", "variety", "gazetteer", "word_before", "assigned", "sentence_start")
+#: Numbers of a candidate's own, and hash buckets of each of its neighbours (two words before, one after).
+SHAPES, NEIGHBOURS = 9, 64
 
 
 def _entropy(s: str) -> float:
@@ -103,33 +122,44 @@ def _entropy(s: str) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def votes(kind: str, text: str, start: int, end: int) -> tuple[list[int], list[float]]:
-    """1 personal, 0 not, 2 silent, for each labeler; and the features that the span classifier sees."""
+def votes(kind: str, text: str, start: int, end: int) -> list[int]:
+    """1 personal, 0 not, 2 silent, for each labeler."""
     s = text[start:end]
-    before = _BEFORE.findall(text[max(0, start - 32) : start])
-    near = [w.lower() for w in before[-2:]]
+    near = [w.lower() for w in _WORD.findall(text[max(0, start - 32) : start])[-2:]]
     lead = text[max(0, start - 4) : start]
-    digits = sum(c.isdigit() for c in s)
-    entropy = _entropy(s)
-    wanted = {"secret": SECRET_WORDS, "number": NUMBER_WORDS, "name": NAME_WORDS}[kind]
     plain = s.replace("-", "").replace(" ", "")
+    form = variety = listed = first = 2
     if kind == "secret":
-        form = 1 if _HEX.fullmatch(s) and len(s) in (32, 40, 64) else 2
-        low = 0 if entropy < 2.5 else 1 if entropy > 3.2 and digits >= 3 else 2
-        listed = 2
+        form = 1 if _ISSUED.match(s) or _HEX.fullmatch(s) and len(s) in (32, 40, 64) else 2
+        entropy, digits = _entropy(s), sum(c.isdigit() for c in s)
+        variety = 0 if entropy < 2.5 else 1 if entropy > 3.2 and digits >= 3 else 2
+        low = s.lower()
+        listed = 0 if any(w in low for w in FILLERS) else 2
     elif kind == "number":
-        form = 1 if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", s) or re.fullmatch(r"[0-9]{16}", plain) else 2
-        low = 0 if len(set(plain)) <= 2 else 2
-        listed = 2
+        # as long as a card's but not one
+        form = 1 if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", s) else 0 if len(plain) >= 13 and not luhn(plain) else 2
+        variety = 0 if len(set(plain)) <= 2 else 2
     else:
-        form = 2
-        low = 2
-        listed = 1 if s.split()[0].lower() in GIVEN else 0
-    context = 1 if any(w in wanted for w in near) else 2
+        parts = s.lower().split()
+        variety = 0 if len(set(parts)) < len(parts) else 2
+        listed = 1 if any(w in GIVEN for w in parts[:-1] if w not in TITLES) else 0
+        first = 0 if _SENTENCE.search(text[max(0, start - 4) : start]) else 2
+    wanted = {"secret": SECRET_WORDS, "number": NUMBER_WORDS, "name": NAME_WORDS}[kind]
+    context = 1 if any(w in wanted for w in near) or kind == "name" and parts[0] in TITLES else 0 if kind == "number" and any(w in PLAIN_WORDS for w in near) else 2
     assigned = 1 if any(c in lead for c in "=:\"'") else 0 if kind == "secret" else 2
-    ordinary = 0 if kind == "name" and not near else 2
-    features = [1.0 * (kind == "secret"), 1.0 * (kind == "number"), 1.0 * (kind == "name"), min(len(s), 64) / 64, digits / len(s), entropy / 6, 1.0 * (context == 1), 1.0 * (assigned == 1), 1.0 * (form == 1), 1.0 * (listed == 1)]
-    return [form, low, listed, context, assigned, ordinary], features
+    return [form, variety, listed, context, assigned, first]
+
+
+def features(kind: str, text: str, start: int, end: int) -> tuple[list[float], list[int]]:
+    """What the span classifier sees: numbers of the candidate's shape, and the buckets of its neighbours."""
+    s = text[start:end]
+    n = len(s)
+    shape = [1.0 * (kind == "secret"), 1.0 * (kind == "number"), 1.0 * (kind == "name"), min(n, 64) / 64, sum(c.isdigit() for c in s) / n]
+    shape += [sum(c.isupper() for c in s) / n, len(set(s)) / min(n, 64), min(s.count(" ") + s.count("-"), 8) / 8, 1.0 * (not text[end : end + 1].isspace())]
+    before = ["", "", *(w.lower() for w in _WORD.findall(text[max(0, start - 32) : start])[-2:])][-2:]
+    after = _WORD.match(text[end : end + 24].lstrip(" \"',.;:)"))
+    words = [*before, after.group().lower() if after else ""]
+    return shape, [i * NEIGHBOURS + zlib.crc32(w.encode()) % NEIGHBOURS for i, w in enumerate(words)]
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
@@ -145,19 +175,19 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[st
 
 
 def _candidate(text: str, kind: str, start: int, end: int) -> dict:
-    cast, features = votes(kind, text, start, end)
     code = 0
-    for x in cast:
+    for x in votes(kind, text, start, end):
         code = 3 * code + x
-    return {"kind": kind, "start": start, "end": end, "votes": code, "features": features}
+    shape, near = features(kind, text, start, end)
+    return {"kind": kind, "start": start, "end": end, "votes": code, "shape": shape, "near": near}
 
 
-FOUND = "doc_id long, base string, n_email long, n_ip long, n_card long, n_phone long, cands array<struct<kind:string,start:int,end:int,votes:int,features:array<float>>>"
+FOUND = "doc_id long, base string, n_email long, n_ip long, n_card long, n_phone long, cands array<struct<kind:string,start:int,end:int,votes:int,shape:array<float>,near:array<int>>>"
 
 
 def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Base spans and candidates with their votes (base 3, first labeler first) of every text."""
-    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.int32()), ("features", pa.list_(pa.float32()))])
+    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.int32()), ("shape", pa.list_(pa.float32())), ("near", pa.list_(pa.int32()))])
     for batch in batches:
         base, counts, cands = [], [], []
         for text in batch.column(1):
@@ -195,13 +225,20 @@ def reliabilities(codes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tu
     return post, right[1], right[0]
 
 
-def train_spans(x: np.ndarray, target: np.ndarray, rounds: int = 300, step: float = 1.0) -> np.ndarray:
-    """Weights (the constant last) of a logistic model of soft targets."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds if len(x) else 0):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        w -= step * (x.T @ (p - target) / len(x) + 1e-4 * w)
+def _logits(shape: np.ndarray, near: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return shape @ weights[:SHAPES] + weights[SHAPES:-1][near].sum(axis=1) + weights[-1]
+
+
+def train_spans(shape: np.ndarray, near: np.ndarray, target: np.ndarray, rounds: int = 300, step: float = 2.0) -> np.ndarray:
+    """Weights (shape, neighbours, the constant) of a logistic model of soft targets; without rows, one that takes nothing."""
+    w = np.zeros(SHAPES + 3 * NEIGHBOURS + 1)
+    if not len(target):
+        w[-1] = -1.0
+        return w
+    for _ in range(rounds):
+        gap = (1 / (1 + np.exp(-np.clip(_logits(shape, near, w), -50, 50))) - target) / len(target)
+        back = np.bincount(near.ravel(), weights=np.repeat(gap, near.shape[1]), minlength=3 * NEIGHBOURS)
+        w -= step * (np.concatenate([shape.T @ gap, back, [gap.sum()]]) + 1e-4 * w)
     return w
 
 
@@ -209,7 +246,7 @@ def added(cands: list[dict], weights: np.ndarray) -> list[tuple[str, int, int]]:
     """Those candidates that the span classifier takes: by kind, then start."""
     if not cands:
         return []
-    keep = np.array([c["features"] for c in cands]) @ weights[:-1] + weights[-1] >= 0
+    keep = _logits(np.array([c["shape"] for c in cands]), np.array([c["near"] for c in cands]), weights) > 0
     found = sorted((ADDED.index(c["kind"]), c["start"], c["end"]) for c, k in zip(cands, keep, strict=True) if k)
     return [(ADDED[k], a, b) for k, a, b in found]
 
@@ -223,7 +260,8 @@ def personal_data(docs: DataFrame, train: int = TRAIN_SPANS) -> DataFrame:
 
     Spans are ``kind:start:end`` in code points, end exclusive, by kind (base kinds first), then start. A null text is
     empty and has none. Repeated rows get equal results, a null doc_id stays null. Other columns are not used. An empty
-    table gives an empty result. Texts are read once; counts of votes cover all of them.
+    table gives an empty result. Texts are read once and whole, however long; counts of votes cover all of them. Where
+    no labeler votes on any candidate, nothing is added to the base spans.
     """
     found = _found(docs)
     weights = fit(found, train)
@@ -243,15 +281,13 @@ def fit(found: DataFrame, train: int) -> np.ndarray:
     """The span classifier's weights, from the votes on all candidates and a sample of ``train`` of them."""
     cands = found.select("doc_id", F.explode("cands").alias("c")).select("doc_id", "c.*")
     patterns = sorted((r.votes, r.n) for r in cands.groupBy("votes").agg(F.count("*").alias("n")).collect())  # 3 ** labelers rows at most
-    if not patterns:
-        return np.zeros(11)
-    codes, counts = np.array([c for c, _ in patterns]), np.array([n for _, n in patterns], float)
+    codes, counts = np.array([c for c, _ in patterns], int), np.array([n for _, n in patterns], float)
     silent = int("2" * len(LABELERS), 3)
     post, *_ = reliabilities(codes, counts)
     by_code = dict(zip(codes.tolist(), post.tolist(), strict=True))
-    sample = cands.where(F.col("votes") != silent).orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start").limit(train).select("votes", "features").toArrow()
-    x = np.array(sample.column("features").to_pylist()).reshape(-1, 10)
-    return train_spans(x, np.array([by_code[c] for c in sample.column("votes").to_pylist()]))
+    sample = cands.where(F.col("votes") != silent).orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start").limit(train).select("votes", "shape", "near").toArrow()
+    shape, near = (np.array(sample.column(c).to_pylist(), kind).reshape(-1, k) for c, kind, k in (("shape", float, SHAPES), ("near", int, 3)))
+    return train_spans(shape, near, np.array([by_code[c] for c in sample.column("votes").to_pylist()]))
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -267,7 +303,8 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 def redacted(docs: DataFrame, train: int = TRAIN_SPANS) -> DataFrame:
     """``docs`` with all personal data in ``text`` replaced by its kind in brackets; rows and columns stay as they are.
 
-    The spans are those of ``personal_data``. A null text stays null; an empty table gives an empty result.
+    The spans are those of ``personal_data``. A null text stays null; an empty table gives an empty result. Texts are
+    read twice and whole, however long.
     """
     weights = fit(_found(docs), train)
     place = docs.columns.index("text")
