@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import Scratch
+from .shared import Salted, Scratch
 from .suffix_sort import deep_shallow_order
 
 #: Bytes of a repeated string, and of an anchor's gram.
@@ -291,26 +291,35 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
     by_sort = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(sorter(length, gram), SPAN)
     cells = cut.where("cell IS NOT NULL").select("doc", "tkey", "times", "gram", "cell", "k1", "k2", "parts")
     core = ["gram", "cell", "k1", "k2"]
-    met = cells.groupBy(*core).agg(F.sum("times").alias("m")).where("m > 1").drop("m")
-    parts = cells.join(met, core).select("doc", "tkey", "times", *core, F.explode("parts").alias("p")).select("doc", "tkey", "times", *core, "p.*")
+    # keys of one hot group hold many rows: what is counted of them is a table, and joined salted
+
+    def counted(rows: DataFrame, keys: list[str], name: str, *more: Column) -> tuple[DataFrame, Salted]:
+        table = scratch.write(rows.groupBy(*keys).agg(F.sum("times").alias("times"), F.count("*").alias("m"), *more).where("times > 1"), name)
+        return table, Salted(table.select(*keys, "m"), keys, rows.count())
+
+    def among(rows: DataFrame, by: str, of: tuple[DataFrame, Salted], how: str = "left_semi") -> DataFrame:
+        return of[1].join(rows, by, of[0].select(*of[1].keys), how=how)
+
+    cells = among(cells, "doc", counted(cells, core, "met"))
+    parts = cells.select("doc", "tkey", "times", *core, F.explode("parts").alias("p")).select("doc", "tkey", "times", *core, "p.*")
     parts = scratch.write(parts.withColumn("n", F.size("starts")).withColumn("whole", F.xxhash64("starts")), "parts")
-    same = parts.groupBy(*core, "part", "n", "whole").agg(F.sum("times").alias("times"), F.first("core").alias("core"), F.first("starts").alias("starts")).where("times > 1")
-    by_part = parts.where("times = 1").join(same.select(*core, "part", "n", "whole"), [*core, "part", "n", "whole"], "left_semi").select("doc", "tkey", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1).alias("hi"))
-    inner = parts.groupBy(*core, "part", F.col("core")).agg(F.sum("times").alias("m")).where("m > 1").drop("m")
-    open_ = parts.join(same.select(*core, "part", "n", "whole"), [*core, "part", "n", "whole"], "left_anti").join(inner, [*core, "part", "core"], "left_semi")
+    same = counted(parts, [*core, "part", "n", "whole"], "same", F.first("core").alias("core"), F.first("starts").alias("starts"))
+    by_part = among(parts.where("times = 1"), "doc", same).select("doc", "tkey", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1).alias("hi"))
+    inner = counted(parts, [*core, "part", "core"], "inner")
+    open_ = among(among(parts, "doc", same, "left_anti"), "doc", inner)
     # a part met as a whole counts once more against the starts of parts that a segment's end cut short
     cols = [*core, "part", "times", "starts"]
-    both = open_.select("doc", "tkey", "at", *cols).union(same.select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long"), *cols))
+    both = open_.select("doc", "tkey", "at", *cols).union(same[0].select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long"), *cols))
     starts = scratch.write(both.select("doc", "tkey", "at", "times", *core, F.posexplode("starts").alias("i", "h")), "starts")
-    twice = starts.groupBy(*core, "h").agg(F.sum("times").alias("m")).where("m > 1").drop("m")
-    by_start = starts.where("times = 1").join(twice, [*core, "h"], "left_semi").select("doc", "tkey", (F.col("at") + F.col("i")).alias("lo"), (F.col("at") + F.col("i")).alias("hi"))
+    twice = counted(starts, [*core, "h"], "twice")
+    by_start = among(starts.where("times = 1"), "doc", twice).select("doc", "tkey", (F.col("at") + F.col("i")).alias("lo"), (F.col("at") + F.col("i")).alias("hi"))
     equal = segs.join(contents.where("times > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"], "left_semi")
     known = found.where("gram IS NULL")
     whole = equal.unionByName(known).select("doc", "tkey", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
     every = whole.union(by_sort).union(by_part).union(by_start)
     # equal rows find the same runs: of each start the longest is enough, and tasks see to that before the shuffle
     out = scratch.write(every.groupBy("doc", "tkey", "lo").agg(F.max("hi").alias("hi")), "spans")
-    scratch.drop(found, contents, cut, parts, starts)
+    scratch.drop(found, contents, cut, parts, starts, same[0], inner[0], twice[0])
     return out
 
 

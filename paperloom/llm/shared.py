@@ -70,17 +70,17 @@ class Salted:
     def __init__(self, counts: DataFrame, keys: list[str], total: int):
         limit = max(HOT_ROWS, -(-total // HOT_KEYS))
         self.keys = keys
-        self.hot = counts.where(F.col("m") > limit).select(*keys, F.ceil(F.col("m") / limit).cast("long").alias("parts"))
+        self.hot = counts.where(F.col("m") > limit).select(*keys, F.ceil(F.col("m") / limit).cast("long").alias("_parts"))
 
     def _parts(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.hot), self.keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+        return df.join(F.broadcast(self.hot), self.keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long")))
 
     def rows(self, df: DataFrame, by: Column) -> DataFrame:
-        return self._parts(df).withColumn("salt", F.pmod(F.xxhash64(by), F.col("parts"))).drop("parts")
+        return self._parts(df).withColumn("_salt", F.pmod(F.xxhash64(by), F.col("_parts"))).drop("_parts")
 
     def table(self, df: DataFrame) -> DataFrame:
-        return self._parts(df).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        return self._parts(df).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
 
     def join(self, rows: DataFrame, by: str, *tables: DataFrame, how: str = "inner") -> DataFrame:
         """``rows`` with ``tables``; ``by`` names what the rows of a hot key are dealt by."""
-        return reduce(lambda df, t: df.join(self.table(t), [*self.keys, "salt"], how), tables, self.rows(rows, F.col(by))).drop("salt")
+        return reduce(lambda df, t: df.join(self.table(t), [*self.keys, "_salt"], how), tables, self.rows(rows, F.col(by))).drop("_salt")
