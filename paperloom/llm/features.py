@@ -75,10 +75,14 @@ def word_prefixes(part: np.ndarray, at: np.ndarray, buckets: int, sizes: tuple[i
 
 
 def labelled(docs, labels, label: str, most: int):
-    """``doc_id``, the label and the text of ``most`` labelled documents at most, those whose ids hash least."""
+    """``doc_id``, the label and the text of ``most`` labelled documents at most, those whose ids hash least.
+
+    Of rows that repeat a doc_id, the text that hashes least is taken; of labels that repeat one, the greatest.
+    """
     from pyspark.sql import functions as F
 
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # ``most`` rows: a bound of its own
-    return texts.select("doc_id", F.col("y").cast("int").alias("y"), F.col("text").cast("string").alias("text"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # ``most`` rows: a bound of its own
+    first = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    return texts.groupBy("doc_id").agg(F.max("y").cast("int").alias("y"), first)

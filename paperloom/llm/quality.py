@@ -77,8 +77,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score, predicted`` for each row of ``docs`` (doc_id, text).
 
-    Null and empty texts have no features and get the score of the constants. Repeated rows get equal scores. Other
-    columns are not used. An empty table gives an empty result.
+    Null and empty texts have no features and get the score of the constants. Texts are scored whole, however long.
+    Repeated rows get equal scores. Other columns are not used. An empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets
 

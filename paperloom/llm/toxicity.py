@@ -3,8 +3,9 @@
 Categories are predicted in a fixed order by linear (logistic) models. Each model sees a text's features and the
 probabilities of all earlier categories. In training these probabilities are out of fold: a document's come from models
 that did not see it, so that later models learn how far earlier ones can be trusted. Labels say only whether a text is
-toxic; the finer categories are derived from it by seed words (``categories``). The last category is the label itself,
-and its probability decides.
+toxic; the finer categories are learned from the training rows (``kinds``): the features that tell most about the label
+are clustered by the toxic texts that they share, and a toxic text is of each kind that it has a feature of. The last
+category is the label itself, and its probability decides.
 
 Features are the presence of hashed lower-cased words and of their first four and five characters, of the whole text.
 Every model keeps the ``KEEP`` buckets whose presence tells most about its category (chi-square), so length does not
@@ -18,7 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features
@@ -29,17 +30,51 @@ BUCKETS, PREFIXES = 1 << 18, (4, 5)
 TRAIN_ROWS = 5000
 KEEP, LEAST_DOCS = 2048, 3
 FOLDS, EPOCHS, STEP, DECAY = 5, 12, 0.3, 1e-4
-#: Seed words of the categories that the label is split into.
-SEEDS = {"insult": ("idiot", "moron", "clown", "loser", "stupid"), "contempt": ("scum", "pathetic", "worthless", "disgusting", "trash")}
-CATEGORIES = (*SEEDS, "veiled", "toxic")
+#: Finer categories, and the features that they are made of.
+KINDS, TELLING = 3, 60
+CATEGORIES = (*(f"kind_{i + 1}" for i in range(KINDS)), "toxic")
 
 
-def categories(text: Column, toxic: Column) -> list[Column]:
-    """0 or 1 for each category: toxic texts with a seed word of it; ``veiled`` ones have none; ``toxic`` is the label."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    has = {k: low.rlike(r"(?<![a-z])(" + "|".join(words) + r")(?![a-z])") for k, words in SEEDS.items()}
-    none = ~has["insult"] & ~has["contempt"]
-    return [(F.when(c & (toxic == 1), 1).otherwise(0)).alias(k) for k, c in (*has.items(), ("veiled", none), ("toxic", F.lit(True)))]
+def telling(bucket: np.ndarray, row: np.ndarray, n: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per bucket how much its presence tells about ``y`` (chi-square; 0 for rare ones), and whether it speaks for it."""
+    df = np.bincount(bucket, minlength=BUCKETS)
+    hits = np.bincount(bucket, weights=y[row], minlength=BUCKETS)
+    base = y.mean() if n else 0.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = (hits - df * base) ** 2 / (df * base * (1 - base) * (1 - df / max(n, 1) + 1e-9))
+    return np.where(df >= LEAST_DOCS, np.nan_to_num(chi), 0), hits > df * base
+
+
+def kinds(bucket: np.ndarray, row: np.ndarray, n: int, y: np.ndarray) -> np.ndarray:
+    """0 or 1 for each document and kind, then the label (n x ``KINDS`` + 1).
+
+    Spherical k-means over features as sets of toxic texts: the first centre is the most frequent feature, each next one
+    the least like those before it. Kinds without features hold nothing.
+    """
+    chi, speaks = telling(bucket, row, n, y)
+    chosen = np.argsort(-np.where(speaks, chi, 0), kind="stable")[:TELLING]
+    # far less telling ones are there by chance
+    chosen = np.sort(chosen[chi[chosen] > max(4, 0.1 * chi[chosen].max())])
+    out = np.zeros((n, KINDS + 1), np.int64)
+    out[:, -1] = y
+    if not len(chosen):
+        return out
+    at = np.minimum(np.searchsorted(chosen, bucket), len(chosen) - 1)
+    hit = (chosen[at] == bucket) & (y[row] == 1)
+    held = np.zeros((len(chosen), n), np.float32)
+    held[at[hit], row[hit]] = 1
+    unit = held / np.linalg.norm(held, axis=1, keepdims=True)
+    first = [int(np.argmax(held.sum(axis=1)))]
+    while len(first) < min(KINDS, len(chosen)):
+        first.append(int(np.argmin((unit @ unit[first].T).max(axis=1))))
+    centres = unit[first]
+    for _ in range(10):
+        of = np.argmax(unit @ centres.T, axis=1)
+        centres = np.stack([unit[of == k].sum(axis=0) if (of == k).any() else centres[k] for k in range(len(first))])
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    for k in range(len(first)):
+        out[:, k] = held[of == k].any(axis=0)
+    return out
 
 
 class Linear(NamedTuple):
@@ -58,12 +93,7 @@ class Linear(NamedTuple):
 
 def fit_linear(bucket: np.ndarray, row: np.ndarray, n: int, earlier: np.ndarray, y: np.ndarray, seed: int = 3) -> Linear:
     """A logistic model by stochastic gradient descent over documents 0..n-1 given as distinct (row, bucket) pairs."""
-    df = np.bincount(bucket, minlength=BUCKETS)
-    hits = np.bincount(bucket, weights=y[row], minlength=BUCKETS)
-    base = y.mean() if n else 0.0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (hits - df * base) ** 2 / (df * base * (1 - base) * (1 - df / max(n, 1) + 1e-9))
-    chi = np.where(df >= LEAST_DOCS, np.nan_to_num(chi), 0)
+    chi, _ = telling(bucket, row, n, y)
     kept = np.sort(np.argsort(-chi, kind="stable")[:KEEP])
     kept = kept[chi[kept] > 4]
     at = np.minimum(np.searchsorted(kept, bucket), max(len(kept) - 1, 0))
@@ -114,16 +144,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> list[Line
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(key, np.arange(len(at)) * BUCKETS), pa.int32()), pa.array(key % BUCKETS, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, len(at) - 1) for c in batch.columns[:-1]), lists], [*batch.schema.names[:-1], "bucket"])
 
-    rows = features.labelled(docs, labels, "toxic", most).select("doc_id", *categories(F.col("text"), F.col("y")), "text")
-    got = rows.mapInArrow(count, "doc_id long, " + ", ".join(f"{c} int" for c in CATEGORIES) + ", bucket array<int>").toArrow().sort_by("doc_id").combine_chunks()
-    lists = [x.values.to_numpy() for x in got.column("bucket")]
+    got = features.labelled(docs, labels, "toxic", most).mapInArrow(count, "doc_id long, y int, bucket array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    lists, y = [x.values.to_numpy() for x in got.column("bucket")], np.asarray(got.column("y").to_pylist(), np.int64)
     row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-    ys = np.column_stack([np.asarray(got.column(c).to_pylist(), np.int64) for c in CATEGORIES]) if len(lists) else np.zeros((0, len(CATEGORIES)), np.int64)
     bucket = np.concatenate(lists) if lists else np.zeros(0, np.int32)
     # words of fewer texts are never chosen, in a part of the texts even less
     often = np.bincount(bucket, minlength=BUCKETS) >= LEAST_DOCS
     del got, lists
-    return fit_chain(bucket[often[bucket]], row[often[bucket]], len(ys), ys)
+    bucket, row = bucket[often[bucket]], row[often[bucket]]
+    return fit_chain(bucket, row, len(y), kinds(bucket, row, len(y), y))
 
 
 def _distinct(part: np.ndarray, at: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -155,8 +184,8 @@ def score(docs: DataFrame, models: list[Linear], threshold: float = 0.5) -> Data
     """``doc_id``, the probability of each category (``p_...``) and ``toxic`` for each row of ``docs`` (doc_id, text).
 
     ``toxic`` says that the last category's probability reaches ``threshold``. Null and empty texts have no features
-    and are judged by the constants alone. Repeated rows get equal results. Columns other than doc_id and text are not
-    used. An empty table gives an empty result.
+    and are judged by the constants alone. Texts are judged whole, however long. Repeated rows get equal results. Columns
+    other than doc_id and text are not used. An empty table gives an empty result.
     """
     held = _sent(docs, models)
 
@@ -171,7 +200,7 @@ def score(docs: DataFrame, models: list[Linear], threshold: float = 0.5) -> Data
 
 
 def clean(docs: DataFrame, models: list[Linear], threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all columns, that ``score`` does not call toxic. Null and empty texts stay."""
+    """The rows of ``docs``, with all columns, that ``score`` does not call toxic. Null and empty texts stay; texts are judged whole."""
     held, place = _sent(docs, models), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

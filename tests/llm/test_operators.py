@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import bm25, html_text, mixing, neardup, pii, quality, queries, repeats, shared, suffix_sort, topk, toxicity, url_filter
+from paperloom.llm import bm25, features, html_text, mixing, neardup, pii, quality, queries, repeats, shared, suffix_sort, textbytes, topk, toxicity, url_filter
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, n int, size string, row int, bucket string, score string, label string, tkey int"
@@ -233,6 +233,73 @@ def test_toxicity_on_held_out_labels(spark):
     assert [len(m.earlier) for m in models] == list(range(len(toxicity.CATEGORIES)))
 
 
+def hashed(b: bytes, lower: bool = False) -> int:
+    """The hash of a slice, by its definition."""
+    values, top = textbytes._byte_values(0, lower), 1 << 64
+    total = sum(int(values[c]) * pow(int(textbytes._BASE), i, top) for i, c in enumerate(b)) + len(b) * 0xD6E8FEB86659FD93
+    return int(textbytes.mixed(np.array([total % top], np.uint64))[0])
+
+
+WORDS_OF, OTHER = re.compile(r"[^\x20\x09-\x0D]+"), 0x5851F42D4C957F2D
+PLAIN_TEXTS = ["The cat sat on the mät", "", "x", "Été à la plage  été", "one two\nthree four five six seven idiot", "ööö ö öö"]
+
+
+def test_quality_score_by_its_definition(spark):
+    """The mean over all words and 2- to 4-grams of the learned table, one by one."""
+    rng = np.random.default_rng(13)
+    model = quality.Model(rng.normal(size=quality.BUCKETS) * 5, 0.3)
+    rows = spark.createDataFrame(list(enumerate(PLAIN_TEXTS)), "doc_id long, text string")
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.score(rows, model).collect()}
+    for i, t in enumerate(PLAIN_TEXTS):
+        found = [(hashed(w.encode()) ^ OTHER) % quality.BUCKETS for w in WORDS_OF.findall(t)]
+        found += [hashed(t[k : k + n].encode()) % quality.BUCKETS for n in quality.GRAMS for k in range(len(t) - n + 1)]
+        score = 1 / (1 + np.exp(-(np.mean(model.table[found]) if found else 0) - 0.3))
+        assert abs(got[i][0] - score) < 1e-9 and got[i][1] == (score >= 0.5)
+
+
+def test_toxicity_score_by_its_definition(spark):
+    """Each link's logistic sum over the buckets that it knows and the probabilities before it."""
+    rng = np.random.default_rng(14)
+    buckets = {i: {hashed(w.encode(), True) % toxicity.BUCKETS for w in WORDS_OF.findall(t)} | {(hashed(w[:n].encode(), True) ^ (OTHER + n)) % toxicity.BUCKETS for w in WORDS_OF.findall(t) for n in toxicity.PREFIXES if len(w) >= n} for i, t in enumerate(PLAIN_TEXTS)}
+    known = sorted(set().union(*buckets.values()))
+    models = [toxicity.Linear(np.array(sorted(rng.choice(known, size=12, replace=False))), rng.normal(size=12), rng.normal(size=j), 0.1) for j in range(len(toxicity.CATEGORIES))]
+    rows = spark.createDataFrame(list(enumerate(PLAIN_TEXTS)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r) for r in toxicity.score(rows, models).collect()}
+    for i in buckets:
+        p: list[float] = []
+        for m in models:
+            z = sum(w for b, w in zip(m.buckets, m.weights, strict=True) if b in buckets[i]) + sum(a * b for a, b in zip(m.earlier, p, strict=True)) + m.bias
+            p.append(1 / (1 + np.exp(-z)))
+        assert np.allclose(got[i][1:-1], p) and got[i][-1] == (p[-1] >= 0.5)
+
+
+def test_toxicity_learns_kinds_on_any_vocabulary():
+    """Two groups of invented words: each gets a kind of its own, and a later link uses what an earlier one says."""
+    rng = np.random.default_rng(15)
+    n, bucket, row = 900, [], []
+    y = np.zeros(n, np.int64)
+    for i in range(n):
+        own = set(rng.integers(1000, 3000, size=20).tolist())
+        if i % 3 == 0:
+            y[i] = 1
+            own |= set(rng.choice(10, size=3, replace=False) + (0 if i % 2 else 100))
+        bucket += own
+        row += [i] * len(own)
+    ys = toxicity.kinds(np.array(bucket), np.array(row), n, y)
+    groups = [np.flatnonzero(ys[:, k]) % 2 for k in range(toxicity.KINDS)]
+    most = {int(g.mean() > 0.5) for g in groups if len(g) > 50 and abs(g.mean() - 0.5) > 0.4}
+    assert most == {0, 1} and (ys[:, -1] == y).all() and (ys[y == 0] == 0).all()
+    models = toxicity.fit_chain(np.array(bucket), np.array(row), n, ys)
+    assert [len(m.earlier) for m in models] == list(range(toxicity.KINDS + 1)) and np.abs(models[-1].earlier).max() > 0.1
+
+
+def test_repeated_ids_train_on_one_text(spark):
+    docs = [(1, "a b"), (1, "c d"), (2, None), (1, "a b")]
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, toxic int")
+    got = [sorted(map(tuple, features.labelled(spark.createDataFrame(x, "doc_id long, text string"), labels, "toxic", 9).collect())) for x in (docs, docs[::-1])]
+    assert got[0] == got[1] and len(got[0]) == 2 and got[0][0][1] == 1
+
+
 def test_classifiers_odd(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (5, 0, 1), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
     for rows in (labels, labels.where("false")):
