@@ -568,12 +568,16 @@ def test_html_long_attribute(quote):
 
 
 def test_url_rules_by_kind(spark):
-    """Hosts by the kind of what they offer, in words that the query's three labels don't have."""
-    urls = ["http://free-bets.com/", "http://ads-track.com/a", "http://x.adult-x.com", "http://cheap-pills.com/", "http://spam-farm.com/", "http://casino-win.com/", "http://my.poker.example:8080/x", "http://tracked.com/", "http://a.com/bets", "http://ads-track.org/fr/"]
-    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = {r.page_id: (r.verdict, (r.pattern_rule or "").split(":")[0]) for r in url_filter.judge(rows, url_filter.HOST_RULES + url_filter.KIND_RULES).collect()}
-    block = [("block", k) for k in ("gambling", "adverts", "adult", "pharmacy", "link farms", "gambling", "gambling")]
-    assert [got[i] for i in range(len(urls))] == [*block, ("allow", ""), ("allow", ""), ("allow", "")]
+    """Hosts by the kind of what they offer, in words, glued words and pairs of words; each page gets its row, repeated ones too."""
+    urls = ["http://free-bets.com/", "http://ads-track.com/a", "http://x.adult-x.com", "http://cheap-pills.com/", "http://spam-farm.com/", "http://casino-win.com/", "http://my.poker.example:8080/x", "http://onlinecasino.com/", "http://free--spins.com/", "http://Viagrashop.com/", "http://tracked.com/", "http://a.com/bets", "http://ads-track.org/fr/", "http://spins-free.com/", "http://a.net\n", "http://" + "a." * 20_000 + "xxx/"]
+    rows = spark.createDataFrame([(i or None, u, 1, "v") for i, u in enumerate(urls)] + [(1, urls[1], 1, "v")] * 3, "page_id long, url string, m int, verdict string")
+    got = defaultdict(set)
+    for r in (found := url_filter.judge(rows).collect()):
+        got[r.page_id].add((r.verdict, r.pattern_rule))
+    block = ["gambling: bets", "adverts: ads", "adult: adult", "pharmacy: pills", "link farms: spam", "gambling: casino", "gambling: poker", "gambling: onlinecasino", "gambling: free spins", "pharmacy: viagrashop"]
+    want = [*(("block", r) for r in block), *[("allow", None)] * 5, ("block", "adult: xxx")]
+    assert len(found) == len(urls) + 3 and [got[i or None] for i in range(len(urls))] == [{w} for w in want]
+    assert len(url_filter.KIND_RULES) > 500
 
 
 def test_url_rules(spark):
