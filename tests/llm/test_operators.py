@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from paperloom.llm import bm25, features, html_text, mixing, neardup, pii, quality, queries, repeats, shared, suffix_sort, textbytes, topk, toxicity, url_filter
@@ -607,6 +608,52 @@ def test_topk_odd(spark):
     assert topk.top_k(df.where("false")).count() == 0
 
 
+def plain_mix(rows: list) -> list:
+    """What is taken of each (doc_id, source, text), by a walk over each source's documents in the order of their keys."""
+    size = lambda t: len(WORDS_OF.findall(t or ""))
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    by = defaultdict(list)
+    for d, s, t in rows:
+        by[s].append((md5(f"mix:{'null' if d is None else d}:{'null' if t is None else md5(t)}"), d, size(t)))
+    names = sorted(by, key=lambda s: (s is None, (s or "").encode()))
+    whole = {s: sum(n for *_, n in by[s]) for s in by}
+    weight, full, share = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, set(), {}
+    while True:
+        left = 1.5 * sum(whole.values()) - sum(2.0 * whole[s] for s in full)
+        open_ = [s for s in names if s not in full]
+        share = {s: 2.0 * whole[s] if s in full else left / sum(weight[x] for x in open_) * weight[s] for s in names}
+        more = {s for s in open_ if share[s] >= 2.0 * whole[s]}
+        if not more:
+            break
+        full |= more
+    out = []
+    for s in names:
+        epochs, at = (int(share[s]) // whole[s] if whole[s] else 0), 0
+        for _, d, n in sorted(by[s], key=lambda x: (x[0], x[2])):
+            out.append(Row(doc_id=d, source=s, size=n, source_size=whole[s], target=share[s], taken=epochs * n + max(0, min(n, int(share[s]) - epochs * whole[s] - at))))
+            at += n
+    return out
+
+
+def test_mixing_of_rows_alike(spark, monkeypatch):
+    """Rows of one source, id and text, more of them than a task makes at once, and null ids with texts of their own."""
+    monkeypatch.setattr(mixing, "ALIKE_ROWS", 7)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 5)
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    rows = [(1, "a", "one two three")] * 40 + [(None, "b", f"w{i} x") for i in range(30)] + [(i, None, "y " * i) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = plain_mix(rows)
+    assert sorted(map(str, mixing.mix(df).collect())) == sorted(map(str, want))
+    whole = Counter()
+    for r in mixing.mixed(df.repartition(5)).collect():
+        whole[r.doc_id, r.source, r.text] += r.mix_words
+        assert 1 <= r.mix_epoch <= 2 and 0 < r.mix_words <= len(r.text.split())
+    per = Counter()
+    for r in want:
+        per[r.doc_id, r.source] += r.taken
+    assert {k: v for k, v in per.items() if v} == {k: sum(n for (d, s, _), n in whole.items() if (d, s) == k) for k, v in per.items() if v}
+
+
 def test_mixing_odd(spark, odd):
     got = mixing.mix(odd).collect()
     assert len(got) == odd.count() and all(0 <= r.taken <= 2 * r["size"] for r in got)
@@ -616,6 +663,7 @@ def test_mixing_odd(spark, odd):
     for rows in by.values():
         assert rows[0].source_size == sum(r["size"] for r in rows) and abs(sum(r.taken for r in rows) - min(rows[0].target, 2 * rows[0].source_size)) < 1
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(odd.repartition(3)).collect()))
+    assert sorted(map(str, got)) == sorted(map(str, plain_mix([(r.doc_id, r.source, r.text) for r in odd.collect()])))
     whole = mixing.mixed(odd)
     assert whole.columns == [*odd.columns, "mix_epoch", "mix_words"] and sum(r.mix_words for r in whole.collect()) == sum(r.taken for r in got)
     assert mixing.mix(odd.where("false")).count() == 0
