@@ -114,11 +114,20 @@ def setter(size: int):
     return sets
 
 
-def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets reach the similarity."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+def _by(rows: DataFrame, key: str) -> Salted:
+    """Joins of ``rows`` (a table) by ``key``, of which few may hold most rows."""
+    return Salted(rows.groupBy(key).agg(F.count("*").alias("m")), [key], rows.count())
+
+
+def _confirmed(scratch: Scratch, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets reach the similarity; a centre is in many pairs, on either side."""
+    pairs = scratch.write(pairs, "pairs")
+    one = _by(pairs, "a").join(pairs, "b", sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")))
+    both = _by(pairs, "b").join(one, "a", sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")))
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(F.lit(100) * shared >= F.lit(percent) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    found = scratch.write(both.where(F.lit(100) * shared >= F.lit(percent) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "links")
+    scratch.drop(pairs)
+    return found
 
 
 def _close(n: str, m: str, percent: int) -> Column:
@@ -150,7 +159,8 @@ def _lists(docs_sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     ``marks`` are such bits of a member's own shingles: a bit that another has not stands for one that they don't share.
     """
     least = stars.groupBy("a").agg(F.min("n").alias("least"))
-    both = stars.join(least, "a").join(docs_sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(docs_sets.select("id", F.col("shingles").alias("sb")), "id")
+    centres = docs_sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    both = _by(stars, "a").join(stars, "id", least, centres).join(docs_sets.select("id", F.col("shingles").alias("sb")), "id")
     ordered = F.concat(F.array_sort(F.array_except("sb", "sa")), F.array_sort(F.array_intersect("sb", "sa")))
     partner = F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100))
     length = (F.col("n") - _least_shared(F.col("n"), partner, percent) + 1).cast("int")
@@ -222,9 +232,9 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     ordered = (F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
     pairs = tied.where(_close("na", "n", percent)).select(*ordered).distinct()
     sets = _sets(scratch, docs, equal, tied.select(F.explode(F.array("a", "id")).alias("id")).distinct(), size)
-    links = scratch.write(_confirmed(sets, pairs, percent).union(_of_one_document(real, equal)), "links")
-    labels = components(scratch, links)
-    scratch.drop(links)
+    confirmed = _confirmed(scratch, sets, pairs, percent)
+    labels = components(scratch, confirmed.union(_of_one_document(real, equal)))
+    scratch.drop(confirmed)
 
     def labelled(members: DataFrame) -> DataFrame:
         return members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
@@ -263,7 +273,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
         most = F.col("na") - _count(lambda x, y: x.bitwiseOR(y), "gaps", "gc") + F.when(F.col("pos") < F.col("own"), common).otherwise(0)
         fit &= most >= need
         new = by_list.join(ranked, "id", stand).where(fit).select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
-        asked, links = more, scratch.write(_confirmed(sets, new, percent), "links")
+        asked, links = more, _confirmed(scratch, sets, new, percent)
         if not links.isEmpty():
             labels = _relabelled(scratch, labels, links)
         scratch.drop(links)
