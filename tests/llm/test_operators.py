@@ -594,6 +594,33 @@ def test_url_rules(spark):
 # top-k and mixing
 
 
+@pytest.mark.parametrize("kind", ["dense", "few great components", "alike"])
+def test_topk_index_stops_on_proof_only(kind, monkeypatch):
+    """The index finds all of the k best, ties included; on vectors of few great components it reads a part of the postings."""
+    monkeypatch.setattr(topk, "SEED", 64)
+    rng = np.random.default_rng(16)
+    v = np.floor(64 * rng.normal(size=(3000, 32)) * {"dense": 1, "few great components": rng.random((3000, 32)) ** 12, "alike": 0}[kind])
+    index = topk.ShardIndex(v.astype(np.float32), segment=256)
+    queries, own = v[:96], np.arange(3000)[:, None] == np.arange(96)
+    for j, (places, scores) in enumerate(index.top(queries.astype(np.float32), 9, own)):
+        whole = np.where(own[:, j], -np.inf, v @ queries[j])
+        kth = np.sort(whole)[-9]
+        assert set(np.flatnonzero(whole >= kth)) <= set(places) and (scores == whole[places]).all()
+    assert kind != "few great components" or index.read < 0.8 * index.whole
+
+
+def test_topk_of_great_components(spark):
+    """Whole numbers beyond what doubles hold are scored exactly."""
+    rng = np.random.default_rng(17)
+    rows = [(i, [float(x) for x in rng.integers(-(2**22), 2**22, size=4)]) for i in range(60)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect())
+    want = []
+    for q, v in rows[::20]:
+        best = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best[:5])]
+    assert got == sorted(want)
+
+
 def test_topk_odd(spark):
     rng = np.random.default_rng(6)
     rows = [(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(300)] + [(20, None, 0), (None, [1.0] * 8, 0), (41, [float("nan")] * 8, 0), (42, [None, *[1.0] * 7], 0), (1, [0.5] * 8, 0), (60, [0.25] * 3, 0)]
