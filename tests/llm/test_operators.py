@@ -258,20 +258,25 @@ def test_quality_score_by_its_definition(spark):
         assert abs(got[i][0] - score) < 1e-9 and got[i][1] == (score >= 0.5)
 
 
-def test_toxicity_score_by_its_definition(spark):
+def toxic_probabilities(models: list, text: str) -> list[float]:
     """Each link's logistic sum over the buckets that it knows and the probabilities before it."""
+    words = WORDS_OF.findall(text)
+    held = {hashed(w.encode(), True) % toxicity.BUCKETS for w in words} | {(hashed(w[:n].encode(), True) ^ (OTHER + n)) % toxicity.BUCKETS for w in words for n in toxicity.PREFIXES if len(w) >= n}
+    p: list[float] = []
+    for m in models:
+        z = sum(w for b, w in zip(m.buckets.tolist(), m.weights.tolist(), strict=True) if b in held) + sum(a * b for a, b in zip(m.earlier, p, strict=True)) + m.bias
+        p.append(1 / (1 + np.exp(-min(max(z, -60), 60))))
+    return p
+
+
+def test_toxicity_score_by_its_definition(spark):
     rng = np.random.default_rng(14)
-    buckets = {i: {hashed(w.encode(), True) % toxicity.BUCKETS for w in WORDS_OF.findall(t)} | {(hashed(w[:n].encode(), True) ^ (OTHER + n)) % toxicity.BUCKETS for w in WORDS_OF.findall(t) for n in toxicity.PREFIXES if len(w) >= n} for i, t in enumerate(PLAIN_TEXTS)}
-    known = sorted(set().union(*buckets.values()))
-    models = [toxicity.Linear(np.array(sorted(rng.choice(known, size=12, replace=False))), rng.normal(size=12), rng.normal(size=j), 0.1) for j in range(len(toxicity.CATEGORIES))]
+    known = sorted({hashed(w.encode(), True) % toxicity.BUCKETS for t in PLAIN_TEXTS for w in WORDS_OF.findall(t)})
+    models = [toxicity.Linear(np.array(sorted(rng.choice(known, size=8, replace=False))), rng.normal(size=8), rng.normal(size=j), 0.1) for j in range(len(toxicity.CATEGORIES))]
     rows = spark.createDataFrame(list(enumerate(PLAIN_TEXTS)), "doc_id long, text string")
-    got = {r.doc_id: tuple(r) for r in toxicity.score(rows, models).collect()}
-    for i in buckets:
-        p: list[float] = []
-        for m in models:
-            z = sum(w for b, w in zip(m.buckets, m.weights, strict=True) if b in buckets[i]) + sum(a * b for a, b in zip(m.earlier, p, strict=True)) + m.bias
-            p.append(1 / (1 + np.exp(-z)))
-        assert np.allclose(got[i][1:-1], p) and got[i][-1] == (p[-1] >= 0.5)
+    for r in toxicity.score(rows, models).collect():
+        p = toxic_probabilities(models, PLAIN_TEXTS[r.doc_id])
+        assert np.allclose(tuple(r)[1:-1], p) and r.toxic == (p[-1] >= 0.5)
 
 
 def test_toxicity_learns_kinds_on_any_vocabulary():
@@ -335,6 +340,49 @@ def test_wand_finds_what_scoring_all_finds():
         assert got == {(k, round(s, 9)) for k, s in best.items()}
 
 
+def plain_contaminated(docs: dict, items: dict, threshold: float = 0.5, overlap: float = 0.5) -> dict:
+    """Scores of all pairs of a document and an item that it holds, from words: BM25 of all pieces in all windows, then both overlaps."""
+    terms = lambda t: re.findall(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+", t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    half, pieces = bm25.WINDOW // 2, []
+    for k, text in items.items():
+        t = terms(text)
+        pieces += [(k, Counter(t[i : i + half])) for i in range(0, len(t), half)]
+    df, mean = Counter(w for _, c in pieces for w in c), sum(c.total() for _, c in pieces) / max(len(pieces), 1)
+    weights = []
+    for k, c in pieces:
+        w = {x: np.log(1 + (len(pieces) - df[x] + 0.5) / (df[x] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * c.total() / mean)) for x, n in c.items()}
+        weights.append((k, w, sum(w.values())))
+    grams = lambda t: {tuple(t[i : i + 3]) for i in range(len(t) - 2)} if len(t) >= 3 else {(x,) for x in t}
+    out = {}
+    for d, text in docs.items():
+        t = terms(text)
+        windows = [set(t[i : i + bm25.WINDOW]) for i in range(0, max(1, len(t) - half), half)]
+        for k, w, whole in weights:
+            score = max(sum(x for term, x in w.items() if term in there) for there in windows) / whole
+            if score >= threshold - 1e-9:
+                out[d, k] = max(out.get((d, k), 0), score)
+        for k in [k for e, k in out if e == d]:
+            held = grams(t) | {(x,) for x in t}
+            parts = [grams(terms(x)) for x in bm25.question_and_answer(items[k])]
+            if any(len(p & held) < overlap * len(p) for p in parts):
+                del out[d, k]
+    return out
+
+
+def test_decontamination_by_brute_force(spark):
+    """Whole results on the table, one row repeated, with extra columns that clash."""
+    docs, items = texts(spark, SMALL), {r.item_id: r.text for r in table(spark, "benchmark").collect()}
+    # and documents that hold parts of items, most of them enough
+    parts = {10_000 + k: "words before it " * k + " ".join(t.split()[: 3 + len(t.split()) * (4 + k % 6) // 10] + t.split()[-3:]) for k, t in list(items.items())[:40]}
+    docs |= parts
+    again = min(d for d, _ in plain_contaminated(docs, items))
+    rows = table(spark, "documents").select("doc_id", "text").union(spark.createDataFrame(list(parts.items()), "doc_id long, text string"))
+    rows = rows.union(rows.where(F.col("doc_id") == again)).withColumn("item_id", F.lit("x")).withColumn("score", F.lit(0))
+    want = plain_contaminated(docs, items)
+    got = sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in bm25.contaminated(rows, table(spark, "benchmark")).collect())
+    assert got == sorted([(d, k, round(s, 9)) for (d, k), s in want.items()] + [(d, k, round(s, 9)) for (d, k), s in want.items() if d == again]) and 20 < len(want) < 43
+
+
 def test_decontamination(spark, odd):
     items = [(r.item_id, r.text) for r in table(spark, "benchmark").collect()]
     docs = [(i, ("filler words come first " * 50) + t + (" and more follow" * 20)) for i, t in items[:20]] + [(1000 + i, "nothing of that sort " * 30) for i in range(5)]
