@@ -4,9 +4,12 @@ Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and return
 Parquet to the shared folder and rereads for the next. All stages but the last return the columns of ``documents``; rows
 keep their further columns throughout. Null and empty texts, repeated rows and empty tables pass every stage:
 
+Texts are worked on whole, however long.
+
 * toxicity: documents whose text is judged toxic go; null and empty texts stay.
-* near duplicates: of each component the document with the smallest id stays, of rows that repeat its id one. Documents
-  without words, and those with a null id, are nobody's duplicates and stay.
+* near duplicates: of each component the document with the smallest id stays, of rows that repeat its id the one with
+  words whose text and further columns hash least. Documents without words, and those with a null id, are nobody's
+  duplicates and stay.
 * decontamination: documents that hold a benchmark item go.
 * personal data: no row goes; spans in the text give way to their kind in brackets.
 * mixing: every document once for each epoch that takes of it, with the words taken; what the mix does not take goes.
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import bm25, mixing, neardup, pii, toxicity
-from paperloom.llm.shared import written
+from paperloom.llm.shared import WORD, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +35,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4, on shingles of five words at a similarity of 0.8."""
-    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    found = neardup.near_duplicates(docs).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    # a row for each id that has words: how often, and whether it goes; other rows stay without a look at them
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(~F.col("kept")).alias("gone"))
+    told = written(ids.where("gone OR n > 1"), "told")
+    key = F.when(F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False)), F.col("doc_id").cast("long"))
+    # rows without a key are dealt out by their text, not to the one task of nulls
+    salt = F.when(key.isNull(), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))).otherwise(F.lit(0).cast("long"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("doc_id"), salt.alias("salt"))
+    kept = rows.join(told.withColumn("salt", F.lit(0).cast("long")), ["doc_id", "salt"], "left").where("NOT coalesce(gone, false)")
     # only rows that repeat an id are compared with each other
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    first = F.min_by("row", F.struct(F.xxhash64("row.text"), F.xxhash64("row"))).alias("row")
+    once = kept.where("n > 1").groupBy("doc_id").agg(first)
+    return kept.where("coalesce(n, 1) = 1").select("row.*").unionByName(once.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +73,8 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: Learned models, MinHash and weak supervision are beyond SQL; tests hold each stage against a brute-force version.
+#: Learned models, MinHash and weak supervision are beyond SQL; tests hold each stage's rows against a plain version:
+#: scores by their definition, all pairs, all pieces of all items, patterns, and a walk over each source.
 ORACLE_SQL = None
 
 
