@@ -34,6 +34,13 @@ def contains_ignoring_case(c: Column, q: str) -> Column:
     return F.lower(c).contains(q.lower())
 
 
+def natural_key(c: Column) -> Column:
+    """Texts in the order of these keys are in natural order: runs of digits by value, whatever their number and length."""
+    digits = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    part = lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 6, "0"), digits(p))).otherwise(p)
+    return F.transform(F.regexp_extract_all(c, F.lit("[0-9]+|[^0-9]+"), 0), part)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in doubles; null for a null or zero vector."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, u: s + u)

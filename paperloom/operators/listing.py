@@ -41,6 +41,17 @@ def page(docs: DataFrame, params: dict) -> DataFrame:
     return docs.orderBy(*ordering(p["sort"], p["direction"])).offset((p["page"] - 1) * p["per_page"]).limit(p["per_page"])
 
 
+#: Names of a listing's fields that are nested in the detail and always empty in the list (fixed values).
+NESTED = ("pageFlags", "kpis", "charts", "insights")
+
+
+def thin(docs: DataFrame) -> DataFrame:
+    """The list shape of documents: fields of their own, and nested ones as empty arrays, whatever the documents have."""
+    at = F.concat(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    none = F.array().cast("array<string>")
+    return docs.select("id", "name", "type", F.col("size_kb").alias("sizeKb"), "status", "classification", "year", at.alias("uploadedAt"), "pages", *[none.alias(n) for n in NESTED])
+
+
 def page_meta(docs: DataFrame, params: dict) -> DataFrame:
     per_page = listing_parameters(params)["per_page"]
     return docs.agg(F.count("*").alias("total")).select("total", F.greatest(F.lit(1), F.ceil(F.col("total") / per_page)).cast("long").alias("last_page"))

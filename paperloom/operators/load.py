@@ -96,3 +96,14 @@ def ranked_first(rows: DataFrame, keys: list[str], order: list[Column], n: int)
     """The first n rows of each key."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
+def chained(latest: DataFrame, stages: tuple[str, ...], good: tuple[str, ...] = ("completed", "skipped")) -> DataFrame:
+    """``document_id, done, stopped_at, status``: stages that ended well before the first that did not, and that one."""
+    at = F.map_from_entries(F.collect_list(F.struct("stage", "status")))
+    every = latest.groupBy("document_id").agg(at.alias("at"))
+    listed = F.transform(F.lit(list(stages)), lambda s: F.struct(s.alias("stage"), F.coalesce(F.try_element_at("at", s), F.lit("not_started")).alias("status")))
+    stopped = F.filter(listed, lambda x: ~x["status"].isin(*good))
+    first = F.get(stopped, F.lit(0))
+    done = F.when(F.size(stopped) == 0, F.lit(len(stages))).otherwise(F.array_position(F.transform(listed, lambda x: x["stage"]), first["stage"]) - 1)
+    return every.select("document_id", done.cast("int").alias("done"), first["stage"].alias("stopped_at"), first["status"].alias("status"))

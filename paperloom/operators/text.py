@@ -46,7 +46,7 @@ def chunks(docs: DataFrame, separator: str = PARAGRAPH, size: int = CHUNK_CHARS,
 
 def words_of_tsv(tsv: Column) -> Column:
     """Words (position, word, conf) of a recogniser's table: rows of 12 cells, a confidence of 0 or above, not blank."""
-    lines = F.slice(F.split(tsv, "\n"), 2, 1_000_000)
+    lines = F.filter(F.split(tsv, "\n"), lambda _, i: i > 0)
     cells = F.transform(lines, lambda line, i: F.struct(i.alias("position"), F.split(line, "\t").alias("c")))
     whole = F.filter(cells, lambda x: F.size(x["c"]) >= 12)
     words = F.transform(whole, lambda x: F.struct(x["position"].alias("position"), x["c"][11].alias("word"), x["c"][10].try_cast("double").alias("conf")))

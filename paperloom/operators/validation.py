@@ -1,4 +1,9 @@
-"""Strict checks of model output. A bad response never fails the job: it gets an error, the first in the order of checks."""
+"""Strict checks of model output. A bad response never fails the job: it gets an error, the first in the order of checks.
+
+A response is decoded once to ``j`` (``raw``, its JSON text, and ``v``, its variant). A list may also be an object, whose
+values count as items in the order in which they are written, by their names. Items become structs of the fields that
+checks and rows need, so each field is taken out of the JSON once.
+"""
 
 from __future__ import annotations
 
@@ -8,31 +13,78 @@ from pyspark.sql import functions as F
 from ..functions.columns import is_blank, is_number, strict_date, trimmed
 from ..functions.rules import DATE_TYPES, DOCUMENT_TYPES, ENTITY_TYPES, QA_CONFIDENCES, SEVERITIES
 
+#: Messages (fixed values).
+NOT_JSON = "AI response is not valid JSON"
+NEEDS_ARRAY = "AI response missing required array field: {field}"
+NEEDS_TEXT = "AI response{where} missing required non-empty string field: {field}"
+NEEDS_STRING = "AI response missing required string field: {field}"
+NEEDS_NUMBER = "AI response{where} missing required numeric field: {field}"
+NOT_OBJECT = "AI response{where} is not an object."
+NOT_STRING = "AI response{where} is not a string."
+NOT_KNOWN = "AI response{where} '{value}' is not in the controlled vocabulary."
+OUTSIDE = "AI response{where} {value} is outside the valid range 0.0-1.0."
+WRONG_TYPE = "AI response field '{field}' expected type '{wanted}', got '{value}'"
+HAS_DATE = "AI response{where} has a due_date but date_type is '{value}' — only 'explicit' deadlines may have a due_date."
+NO_DATE = "AI response{where} has date_type 'explicit' but due_date is missing or not a valid YYYY-MM-DD date."
+NOT_RETRIEVED = "AI response cited document ID '{value}' was not present in the retrieved context — hallucinated citation rejected."
+NONE_CITES = "AI response confidence is 'none' but cited_document_ids is non-empty — a no-answer response must not cite documents."
+#: Names of types in messages (fixed values).
+TYPES = {"ARRAY": "array", "OBJECT": "array", "STRING": "string", "BIGINT": "integer", "DECIMAL": "double", "DOUBLE": "double", "BOOLEAN": "boolean", "VOID": "NULL"}
+
 
 def decoded(raw: Column) -> Column:
-    """The JSON object or array of a response, fences around it taken off; null for anything else."""
-    v = F.try_parse_json(F.regexp_replace(trimmed(raw), r"(?m)^```json\s*|\s*```$", ""))
-    return F.when(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), v)
+    """The JSON object or array of a response, fences around it taken off, as ``raw`` and ``v``; null for anything else."""
+    text = F.regexp_replace(trimmed(raw), r"(?m)^```json\s*|\s*```$", "")
+    v = F.try_parse_json(text)
+    return F.when(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), F.struct(text.alias("raw"), v.alias("v")))
+
 
+def field(v: Column, name: str | None = None) -> Column:
+    """``kind`` (OBJECT, ARRAY, STRING, BIGINT, ...; null where there is none, VOID for JSON's null) and ``text`` of a field, or of ``v``."""
+    x = v if name is None else F.try_variant_get(v, f"$.{name}", "variant")
+    return F.struct(F.regexp_extract(F.schema_of_variant(x), "^[A-Z]+", 0).alias("kind"), F.try_variant_get(x, "$", "string").alias("text"))
 
-def kind(v: Column, path: str) -> Column:
-    """OBJECT, ARRAY, STRING, BIGINT, ... ; null where there is no such field, VOID where it is JSON's null."""
-    return F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), "^[A-Z]+", 0)
 
+def is_text(f: Column) -> Column:
+    return F.coalesce(f["kind"] == "STRING", F.lit(False))
 
-def string(v: Column, path: str) -> Column:
-    return F.when(kind(v, path) == "STRING", F.try_variant_get(v, path, "string"))
 
+def string(f: Column) -> Column:
+    return F.when(is_text(f), f["text"])
 
-def number(v: Column, path: str) -> Column:
+
+def number(f: Column) -> Column:
     """Numbers, and texts that are numbers."""
-    text = F.try_variant_get(v, path, "string")
-    plain = kind(v, path).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "TINYINT", "SMALLINT", "INT")
-    return F.when(plain | ((kind(v, path) == "STRING") & is_number(text)), trimmed(text).try_cast("double"))
+    plain = f["kind"].isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "TINYINT", "SMALLINT", "INT")
+    return F.when(plain | (is_text(f) & is_number(f["text"])), trimmed(f["text"]).try_cast("double"))
+
+
+def items(j: Column, name: str, fields: tuple[str, ...] | None) -> Column:
+    """Items of a list or object: ``k`` (place or name), ``kind``, and each of ``fields``, or ``text`` where there are none."""
+    path = f"$.{name}"
+    kind = field(j["v"], name)["kind"]
+
+    def item(k: Column, x: Column) -> Column:
+        own = field(x)
+        return F.struct(k.alias("k"), own["kind"].alias("kind"), *([field(x, f).alias(f) for f in fields] if fields else [own["text"].alias("text")]))
+
+    listed = F.transform(F.try_variant_get(j["v"], path, "array<variant>"), lambda x, i: item(i.cast("string"), x))
+    # a variant's names are sorted, those of the text are as written
+    values = F.try_variant_get(j["v"], path, "map<string,variant>")
+    named = F.transform(F.json_object_keys(F.get_json_object(j["raw"], path)), lambda k: item(k, F.element_at(values, k)))
+    return F.when(kind == "ARRAY", listed).when(kind == "OBJECT", named)
+
 
+def shown(n: Column) -> Column:
+    """A number as messages show it: without a fraction that is zero."""
+    return F.regexp_replace(n.cast("string"), r"\.0$", "")
 
-def items(v: Column, path: str) -> Column:
-    return F.when(kind(v, path) == "ARRAY", F.try_variant_get(v, path, "array<variant>"))
+
+def said(message: str, where: Column | str = "", value: Column | None = None, **more: str) -> Column:
+    """A message with its parts filled in; ``where`` follows a blank."""
+    out = F.lit(message.format(where="\0", value="\1", **more))
+    at = F.lit(where) if isinstance(where, str) else F.concat(F.lit(" "), where)
+    return F.replace(F.replace(out, F.lit("\0"), at), F.lit("\1"), F.coalesce(value, F.lit("null")) if value is not None else F.lit(""))
 
 
 def first(*checks: tuple[Column, Column]) -> Column:
@@ -40,23 +92,17 @@ def first(*checks: tuple[Column, Column]) -> Column:
     return F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), message) for bad, message in checks])
 
 
-def said(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-
-def _blank(x: Column, where: Column, field: str) -> tuple[Column, Column]:
-    return is_blank(string(x, f"$.{field}")), said(where, " missing required non-empty string field: ", F.lit(field))
+def _blank(x: Column, where: Column, name: str) -> tuple[Column, Column]:
+    return is_blank(string(x[name])), said(NEEDS_TEXT, where, field=name)
 
 
-def _vocabulary(x: Column, where: Column, field: str, words) -> tuple[Column, Column]:
-    value = string(x, f"$.{field}")
-    shown = F.coalesce(F.try_variant_get(x, f"$.{field}", "string"), F.lit("null"))
-    return ~F.coalesce(value.isin(*words), F.lit(False)), said(where, f".{field} '", shown, "' is not in the controlled vocabulary.")
+def _vocabulary(x: Column, where: Column, name: str, words) -> tuple[Column, Column]:
+    return ~F.coalesce(string(x[name]).isin(*words), F.lit(False)), said(NOT_KNOWN, F.concat(where, F.lit(f".{name}")), x[name]["text"])
 
 
 def _confidence(x: Column, where: Column) -> list[tuple[Column, Column]]:
-    n = number(x, "$.confidence")
-    return [(n.isNull(), said(where, " missing required numeric field: confidence")), ((n < 0) | (n > 1), said(where, ".confidence ", n.cast("string"), " is outside the valid range 0.0-1.0."))]
+    n = number(x["confidence"])
+    return [(n.isNull(), said(NEEDS_NUMBER, where, field="confidence")), ((n < 0) | (n > 1), said(OUTSIDE, F.concat(where, F.lit(".confidence")), shown(n)))]
 
 
 def _entity(x: Column, where: Column) -> list:
@@ -68,91 +114,103 @@ def _risk(x: Column, where: Column) -> list:
 
 
 def _deadline(x: Column, where: Column) -> list:
-    type_, due = string(x, "$.date_type"), string(x, "$.due_date")
-    given = F.coalesce(kind(x, "$.due_date") != "VOID", F.lit(False))
+    type_, due = string(x["date_type"]), string(x["due_date"])
+    given = F.coalesce(x["due_date"]["kind"] != "VOID", F.lit(False))
     return [
         _blank(x, where, "title"), _blank(x, where, "description"), _vocabulary(x, where, "date_type", DATE_TYPES),
-        ((type_ != "explicit") & given, said(where, " has a due_date but is not explicit.")),
-        ((type_ == "explicit") & strict_date(due).isNull(), said(where, " is explicit but due_date is missing or not a valid date.")),
+        ((type_ != "explicit") & given, said(HAS_DATE, where, type_)), ((type_ == "explicit") & strict_date(due).isNull(), said(NO_DATE, where)),
         *_confidence(x, where), _blank(x, where, "evidence"),
     ]
 
 
 CHECKS = {"entities": _entity, "risks": _risk, "deadlines": _deadline}
-NOT_JSON = "not valid JSON"
+#: Fields of an item.
+FIELDS = {
+    "entities": ("entity_type", "value", "normalized_value", "confidence"),
+    "risks": ("title", "description", "severity", "confidence", "evidence"),
+    "deadlines": ("title", "description", "date_type", "due_date", "relative_text", "confidence", "evidence"),
+}
+
+
+def _place(name: str, x: Column) -> Column:
+    return F.concat(F.lit(f"{name}["), x["k"], F.lit("]"))
 
 
-def list_error(v: Column, field: str) -> Column:
-    """The first error of a response that lists entities, risks or deadlines; one bad item rejects all of it."""
+def _first_of(listed: Column, error) -> Column:
+    return F.get(F.filter(F.transform(listed, error), lambda e: e.isNotNull()), F.lit(0))
 
-    def of_item(x: Column, i: Column) -> Column:
-        where = said(f"{field}[", i.cast("string"), "]")
-        is_object = F.coalesce(F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)"), F.lit(False))
-        return first((~is_object, said(where, " is not an object.")), *CHECKS[field](x, where))
 
-    errors = F.filter(F.transform(items(v, f"$.{field}"), of_item), lambda e: e.isNotNull())
-    return F.coalesce(first((v.isNull(), F.lit(NOT_JSON)), (items(v, f"$.{field}").isNull(), F.lit(f"missing required array field: {field}"))), F.get(errors, F.lit(0)))
+def list_error(j: Column, listed: Column, name: str) -> Column:
+    """The first error of a response that lists entities, risks or deadlines (``listed``, its items); one bad item rejects all of it."""
 
+    def of_item(x: Column) -> Column:
+        where = _place(name, x)
+        return first((~F.coalesce(x["kind"].isin("OBJECT", "ARRAY"), F.lit(False)), said(NOT_OBJECT, where)), *CHECKS[name](x, where))
 
-def type_error(v: Column) -> Column:
-    word, n = string(v, "$.document_type"), number(v, "$.confidence")
+    return F.coalesce(first((j.isNull(), F.lit(NOT_JSON)), (listed.isNull(), said(NEEDS_ARRAY, field=name))), _first_of(listed, of_item))
+
+
+def type_error(j: Column) -> Column:
+    f = {name: field(j["v"], name) for name in ("document_type", "confidence", "reasoning")}
+    word, n = string(f["document_type"]), number(f["confidence"])
     return first(
-        (v.isNull(), F.lit(NOT_JSON)), (word.isNull(), F.lit("missing required string field: document_type")),
-        (~word.isin(*DOCUMENT_TYPES), said("document_type '", word, "' is not in the controlled vocabulary.")),
-        (n.isNull(), F.lit("missing required numeric field: confidence")), ((n < 0) | (n > 1), said("confidence ", n.cast("string"), " is outside the valid range 0.0-1.0.")),
-        (is_blank(string(v, "$.reasoning")), F.lit("missing required non-empty string field: reasoning")),
+        (j.isNull(), F.lit(NOT_JSON)), (word.isNull(), said(NEEDS_STRING, field="document_type")), (~word.isin(*DOCUMENT_TYPES), said(NOT_KNOWN, F.lit("document_type"), word)),
+        (n.isNull(), said(NEEDS_NUMBER, field="confidence")), ((n < 0) | (n > 1), said(OUTSIDE, F.lit("confidence"), shown(n))), (is_blank(string(f["reasoning"])), said(NEEDS_TEXT, field="reasoning")),
     )
 
 
 SUMMARY_LISTS = ("key_findings", "critical_risks", "upcoming_deadlines", "important_entities", "recommended_attention")
 
 
-def _not_string(v: Column, field: str) -> Column:
-    bad = F.transform(items(v, f"$.{field}"), lambda x, i: F.when(F.coalesce(F.schema_of_variant(x), F.lit("")) != "STRING", said(f"{field}[", i.cast("string"), "] is not a string.")))
-    return F.get(F.filter(bad, lambda e: e.isNotNull()), F.lit(0))
+def _not_string(name: str):
+    return lambda x: F.when(~is_text(x), said(NOT_STRING, _place(name, x)))
 
 
-def summary_error(v: Column) -> Column:
-    out = [first((v.isNull(), F.lit(NOT_JSON)), (is_blank(string(v, "$.executive_summary")), F.lit("missing required non-empty string field: executive_summary")))]
-    for field in SUMMARY_LISTS:
-        out += [first((items(v, f"$.{field}").isNull(), F.lit(f"missing required array field: {field}"))), _not_string(v, field)]
+def summary_error(j: Column) -> Column:
+    out = [first((j.isNull(), F.lit(NOT_JSON)), (is_blank(string(field(j["v"], "executive_summary"))), said(NEEDS_TEXT, field="executive_summary")))]
+    for name in SUMMARY_LISTS:
+        listed = items(j, name, None)
+        out += [first((listed.isNull(), said(NEEDS_ARRAY, field=name))), _first_of(listed, _not_string(name))]
     return F.coalesce(*out)
 
 
-def qa_error(v: Column, available: Column) -> Column:
+def qa_error(j: Column, available: Column) -> Column:
     """Answers cite only what was retrieved, and an answer of no confidence cites nothing."""
-    cited = items(v, "$.cited_document_ids")
+    cited, word = items(j, "cited_document_ids", None), field(j["v"], "confidence")
 
-    def of_id(x: Column, i: Column) -> Column:
-        s = F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
-        return first((s.isNull(), said("cited_document_ids[", i.cast("string"), "] is not a string.")), (~F.array_contains(available, s), said("cited document '", s, "' was not retrieved.")))
+    def of_id(x: Column) -> Column:
+        return first((~is_text(x), said(NOT_STRING, _place("cited_document_ids", x))), (~F.array_contains(available, x["text"]), said(NOT_RETRIEVED, value=x["text"])))
 
-    errors = F.filter(F.transform(cited, of_id), lambda e: e.isNotNull())
-    word = string(v, "$.confidence")
-    shown = F.coalesce(F.try_variant_get(v, "$.confidence", "string"), F.lit("null"))
     return F.coalesce(
-        first((v.isNull(), F.lit(NOT_JSON)), (is_blank(string(v, "$.answer")), F.lit("missing required non-empty string field: answer")), (~F.coalesce(word.isin(*QA_CONFIDENCES), F.lit(False)), said("confidence '", shown, "' is not in the controlled vocabulary.")), (cited.isNull(), F.lit("missing required array field: cited_document_ids"))),
-        F.get(errors, F.lit(0)),
-        first(((word == "none") & (F.size(cited) > 0), F.lit("no answer, but documents are cited."))),
+        first((j.isNull(), F.lit(NOT_JSON)), (is_blank(string(field(j["v"], "answer"))), said(NEEDS_TEXT, field="answer")), (~F.coalesce(string(word).isin(*QA_CONFIDENCES), F.lit(False)), said(NOT_KNOWN, F.lit("confidence"), word["text"])), (cited.isNull(), said(NEEDS_ARRAY, field="cited_document_ids"))),
+        _first_of(cited, of_id),
+        first(((string(word) == "none") & (F.size(cited) > 0), F.lit(NONE_CITES))),
     )
 
 
-def optional_error(v: Column, schema: dict[str, str]) -> Column:
+def optional_error(j: Column, schema: dict[str, str]) -> Column:
     """Fields that are there must have their type (array, string, numeric); JSON's null is a wrong type."""
-    out = [F.when(v.isNull(), F.lit(NOT_JSON))]
-    for field, wanted in schema.items():
-        k = kind(v, f"$.{field}")
-        good = {"array": k.isin("ARRAY", "OBJECT"), "string": k == "STRING", "numeric": number(v, f"$.{field}").isNotNull()}[wanted]
-        out.append(F.when((F.coalesce(k, F.lit("")) != "") & ~F.coalesce(good, F.lit(False)), F.lit(f"field '{field}' expected type '{wanted}'")))
+    out = [F.when(j.isNull(), F.lit(NOT_JSON))]
+    names = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
+    for name, wanted in schema.items():
+        f = field(j["v"], name)
+        good = {"array": f["kind"].isin("ARRAY", "OBJECT"), "string": is_text(f), "numeric": number(f).isNotNull()}[wanted]
+        there = F.coalesce(f["kind"], F.lit("")) != ""
+        out.append(F.when(there & ~F.coalesce(good, F.lit(False)), said(WRONG_TYPE, field=name, wanted=wanted, value=F.element_at(names, f["kind"]))))
     return F.coalesce(*out)
 
 
 def checked(responses: DataFrame, error: Column) -> DataFrame:
-    """``id, is_valid, error`` for each response with its decoded ``v``."""
-    return responses.select("id", error.isNull().alias("is_valid"), error.alias("error"))
+    """``id, is_valid, error`` for each response."""
+    return responses.withColumn("error", error).select("id", F.col("error").isNull().alias("is_valid"), "error")
+
+
+def checked_items(responses: DataFrame, name: str) -> DataFrame:
+    """``responses`` with their ``items`` of entities, risks or deadlines and the first ``error``."""
+    listed = responses.withColumn("items", items(F.col("j"), name, FIELDS[name]))
+    return listed.withColumn("error", list_error(F.col("j"), F.col("items"), name))
 
 
-def valid_items(responses: DataFrame, field: str) -> DataFrame:
-    """``id, k`` (from 0) and ``x`` for each item of the valid responses."""
-    good = responses.where(list_error(F.col("v"), field).isNull())
-    return good.select("id", F.posexplode(items(F.col("v"), f"$.{field}")).alias("k", "x"))
+def valid_items(responses: DataFrame, name: str) -> DataFrame:
+    """``id, k`` (from 0) and ``x``, the fields, for each item of the valid responses."""
+    return checked_items(responses, name).where("error IS NULL").select("id", F.posexplode("items").alias("k", "x"))

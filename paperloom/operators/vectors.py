@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cosine
 from ..functions.rules import FLOOR
-from .access import Caller, of_tenant, visible
+from .access import Caller, of_tenant, one_of, visible
 
 
 def vector_of(embeddings: DataFrame, id_: int) -> list[float] | None:
@@ -27,11 +27,23 @@ def top_k(embeddings: DataFrame, query: list[float], k: int) -> DataFrame:
 
 
 def search(embeddings: DataFrame, docs: DataFrame, caller: Caller, query: list[float], k: int = 10, floor: float = FLOOR) -> DataFrame:
-    """The k best chunks that the caller may see, and of them those at the floor or above."""
-    chunks = of_tenant(embeddings, caller.workspace_id, null_safe=False).select("id", "document_id", "chunk_index", "embedding", "chunk_text")
-    seen = visible(docs, caller, search=True).select(F.col("id").alias("document_id"), "name", "classification")
-    best = top_k(chunks.join(seen, "document_id"), query, k)
-    return best.where(F.col("similarity") >= floor).select("id", "document_id", "name", "classification", "chunk_index", F.col("chunk_text").alias("excerpt"), F.round("similarity", 4).alias("similarity"))
+    """The k best chunks that the caller may see, and of them those at the floor or above.
+
+    Chunks are ranked without their texts; texts and names are read for the best alone.
+    """
+    chunks = of_tenant(embeddings, caller.workspace_id, null_safe=False).select("id", "document_id", "embedding")
+    seen = visible(docs, caller, search=True).select(F.col("id").alias("document_id"))
+    best = local(top_k(chunks.join(seen, "document_id"), query, k))
+    ids, owners = ([r[c] for r in best.collect()] for c in ("id", "document_id"))
+    texts = embeddings.where(one_of(F.col("id"), ids)).select("id", "chunk_index", F.col("chunk_text").alias("excerpt"))
+    names = docs.where(one_of(F.col("id"), owners)).select(F.col("id").alias("document_id"), "name", "classification")
+    found = best.where(F.col("similarity") >= floor).join(texts, "id").join(names, "document_id")
+    return found.select("id", "document_id", "name", "classification", "chunk_index", "excerpt", F.round("similarity", 4).alias("similarity"))
+
+
+def local(best: DataFrame) -> DataFrame:
+    """The rows of a top-k list as a local table, so that what is joined to it doesn't search again."""
+    return best.sparkSession.createDataFrame(best.collect(), best.schema)
 
 
 def gathered(rows: DataFrame, key: str, order: str, fields: list[Column], name: str) -> DataFrame:

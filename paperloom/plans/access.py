@@ -17,10 +17,10 @@ _ALLOWED = " OR ".join(f"(classification = '{c}' AND role IN ({', '.join(repr(r)
 
 
 def caller(users: DataFrame, docs: DataFrame, spaces: DataFrame) -> DataFrame:
-    """Each user with each document that is in question for them: of their workspace, or of their own."""
+    """Each user with each document (or group of them) that is in question for them: of their workspace, or of their own."""
     u = users.select(F.col("id").alias("user_id"), "role", "current_workspace_id")
     own = spaces.select(F.col("id").alias("workspace_id"), (F.col("type") == "Personal").alias("personal"))
-    d = docs.select("id", "workspace_id", "classification", "uploaded_by").join(own, "workspace_id", "left")
+    d = docs.join(own, "workspace_id", "left")
     same = F.col("workspace_id").eqNullSafe(F.col("current_workspace_id"))
     near = d.join(u, same).union(d.join(u, (F.col("uploaded_by") == F.col("user_id")) & ~same))
     view = access.may_view(F.col("personal"), F.col("uploaded_by"), F.col("workspace_id"), F.col("classification"), F.col("user_id"), F.col("role"), F.col("current_workspace_id"))
@@ -62,18 +62,24 @@ def acl_personal_owner(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_NEAR + "SELECT user_id, role, count(*) FILTER (may_view)::BIGINT AS documents FROM seen GROUP BY user_id, role")
 def acl_all_users_matrix(spark: SparkSession, d: str) -> DataFrame:
-    near = caller(views.users(spark, d), views.documents(spark, d, status=False), views.workspaces(spark, d))
-    return near.groupBy("user_id", "role").agg(F.count_if("may_view").alias("documents"))
+    """How many documents each user sees: documents that policies can't tell apart are counted before they meet users."""
+    groups = views.documents(spark, d, status=False).groupBy("workspace_id", "classification", "uploaded_by").agg(F.count("*").alias("n"))
+    near = caller(views.users(spark, d), groups, views.workspaces(spark, d))
+    return near.groupBy("user_id", "role").agg(F.sum(F.when(F.col("may_view"), F.col("n")).otherwise(0)).alias("documents"))
+
+
+def _policy_fields(spark: SparkSession, d: str) -> DataFrame:
+    return views.documents(spark, d, status=False).select("id", "workspace_id", "classification", "uploaded_by")
 
 
 @query(_NEAR + "SELECT id, user_id, may_view FROM seen")
 def policy_view_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return caller(views.users(spark, d), views.documents(spark, d, status=False), views.workspaces(spark, d)).select("id", "user_id", "may_view")
+    return caller(views.users(spark, d), _policy_fields(spark, d), views.workspaces(spark, d)).select("id", "user_id", "may_view")
 
 
 @query(_NEAR + "SELECT id, user_id, may_view AND (personal OR role IN ('Administrator', 'Reviewer')) AS may_review FROM seen")
 def policy_approve_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return caller(views.users(spark, d), views.documents(spark, d, status=False), views.workspaces(spark, d)).select("id", "user_id", "may_review")
+    return caller(views.users(spark, d), _policy_fields(spark, d), views.workspaces(spark, d)).select("id", "user_id", "may_review")
 
 
 @query("SELECT count(*) AS n FROM v_users WHERE active AND role = 'Administrator' AND id <> 0")

@@ -74,6 +74,21 @@ def list_sorted_nulls(spark: SparkSession, d: str) -> DataFrame:
     return listing.page(listing.filtered(views.documents(spark, d, status=False), PERSONAL, {}), {}).select("id", "created_at")
 
 
+@query(f"SELECT id, pages {_MINE} ORDER BY pages NULLS LAST, id LIMIT 20")
+def list_sorted_pages(spark: SparkSession, d: str) -> DataFrame:
+    """By number of pages, those without one last."""
+    return listing.page(listing.filtered(views.documents(spark, d, status=False), ADMIN, {}), {"sort": "pages", "direction": "asc"}).select("id", "pages")
+
+
+@query(f"""
+SELECT id, name, type, size_kb AS "sizeKb", status, classification, year, strftime(created_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS "uploadedAt", pages,
+       '[]' AS "pageFlags", '[]' AS kpis, '[]' AS charts, '[]' AS insights {_MINE}""")
+def document_list_thin(spark: SparkSession, d: str) -> DataFrame:
+    """Each document in the list shape; its nested fields, shown here as JSON, are empty."""
+    found = listing.thin(listing.filtered(views.documents(spark, d), ADMIN, {}))
+    return found.withColumns({n: F.to_json(n) for n in listing.NESTED})
+
+
 @query(f"SELECT id, name {_MINE} ORDER BY name, id LIMIT 7 OFFSET 14")
 def list_page(spark: SparkSession, d: str) -> DataFrame:
     params = {"sort": "name", "direction": "asc", "page": 3, "per_page": 7}

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_blank
+from ..functions.columns import is_blank, natural_key
 from ..functions.rules import ENABLED_TYPES, FILE_TYPES, TEXT_CHARS
 from ..sources import table, views
 from .registry import query
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 'user' || c_custkey || '@example.com' END AS email FROM customer")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE lower(c_name) || '@example.com' END AS email FROM customer")
 def email_normalize(spark: SparkSession, d: str) -> DataFrame:
     """Addresses without blanks around them, in lower case; null stays null."""
     from ..functions.columns import trimmed
 
     i = F.col("c_custkey")
-    raw = F.when(i % 9 != 0, F.concat(F.lit("\t User"), i, F.lit("@Example.COM \r\n")))
+    raw = F.when(i % 9 != 0, F.concat(F.lit("\t "), F.col("c_name"), F.lit("@Example.COM \r\n")))
     return table(spark, d, "customer").select(i.alias("id"), F.lower(trimmed(raw)).alias("email"))
 
 
@@ -51,12 +51,13 @@ def type_for_extension(spark: SparkSession, d: str) -> DataFrame:
     return views.documents(spark, d, status=False).select("id", F.lower("type").alias("extension"), found.alias("type"))
 
 
-@query("SELECT o_custkey AS id, string_agg('page-' || (o_orderkey % 120) || '.png', ',' ORDER BY o_orderkey % 120, o_orderkey) AS files FROM orders GROUP BY o_custkey")
+@query("""
+SELECT o_custkey AS id, string_agg('scan' || (o_orderkey % 12) || '-page-' || (o_orderkey % 120) || '.png', ',' ORDER BY o_orderkey % 12, o_orderkey % 120, o_orderkey) AS files
+FROM orders GROUP BY o_custkey""")
 def natural_sort_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Files of each owner, page-2 before page-10."""
-    file = F.concat(F.lit("page-"), F.col("o_orderkey") % 120, F.lit(".png"))
-    number = F.regexp_extract(file, r"(\d+)", 1).cast("int")
-    listed = F.sort_array(F.collect_list(F.struct(number.alias("n"), F.col("o_orderkey"), file.alias("f"))))
+    """Files of each owner, scan2-page-10 before scan2-page-11 before scan10-page-1."""
+    file = F.concat(F.lit("scan"), F.col("o_orderkey") % 12, F.lit("-page-"), F.col("o_orderkey") % 120, F.lit(".png"))
+    listed = F.sort_array(F.collect_list(F.struct(natural_key(file).alias("n"), F.col("o_orderkey"), file.alias("f"))))
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_join(F.transform(listed, lambda x: x["f"]), ",").alias("files"))
 
 

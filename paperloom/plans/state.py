@@ -25,6 +25,31 @@ def processing_status_pivot(spark: SparkSession, d: str) -> DataFrame:
     return now.groupBy("document_id").pivot("stage", list(INTELLIGENCE_STAGES)).agg(F.first("status")).na.fill("not_started")
 
 
+@query(f"""
+WITH now AS ({_LATEST}), s(stage, n) AS (VALUES {", ".join(f"('{s}', {n})" for n, s in enumerate(INTELLIGENCE_STAGES))}),
+c AS (SELECT d.document_id, s.n, s.stage, coalesce(now.status, 'not_started') AS status FROM (SELECT DISTINCT document_id FROM now) d CROSS JOIN s LEFT JOIN now ON now.document_id = d.document_id AND now.stage = s.stage),
+f AS (SELECT document_id, min(n) AS n FROM c WHERE status NOT IN ('completed', 'skipped') GROUP BY document_id)
+SELECT DISTINCT c.document_id, coalesce(f.n, {len(INTELLIGENCE_STAGES)})::INT AS done, x.stage AS stopped_at, x.status FROM c LEFT JOIN f ON f.document_id = c.document_id LEFT JOIN c x ON x.document_id = c.document_id AND x.n = f.n""")
+def chain_progress(spark: SparkSession, d: str) -> DataFrame:
+    """How far each document came in the ordered chain, which stops at the first stage that has not ended well."""
+    now = load.latest(views.jobs(spark, d), ["document_id", "stage"], ["status"])
+    return load.chained(now, INTELLIGENCE_STAGES)
+
+
+@query("SELECT document_id, stage, count(*)::BIGINT AS entries, epoch_us(max(created_at)) - epoch_us(min(created_at)) AS microseconds FROM v_jobs GROUP BY document_id, stage")
+def stage_durations(spark: SparkSession, d: str) -> DataFrame:
+    """From the first to the last entry of each document and stage (an extension)."""
+    micros = lambda f: F.unix_micros(f("created_at").cast("timestamp"))
+    return views.jobs(spark, d).groupBy("document_id", "stage").agg(F.count("*").alias("entries"), (micros(F.max) - micros(F.min)).alias("microseconds"))
+
+
+@query("SELECT stage AS purpose, count(*)::BIGINT AS runs, sum(json_extract(output, '$.k')::BIGINT)::BIGINT AS tokens FROM v_jobs GROUP BY stage")
+def token_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Runs and their tokens by purpose (an extension)."""
+    tokens = F.get_json_object("output", "$.k").try_cast("long")
+    return views.jobs(spark, d).groupBy(F.col("stage").alias("purpose")).agg(F.count("*").alias("runs"), F.sum(tokens).alias("tokens"))
+
+
 _KEPT = "SELECT id, document_id, value, percent FROM v_entities WHERE document_id % 4 <> 0"
 
 

@@ -69,7 +69,7 @@ def vector_search_unscoped(spark: SparkSession, d: str) -> DataFrame:
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     """The five best chunks with their rank; five rows, so the window needs no key."""
-    return _search(spark, d, ADMIN, 12, -1.0, 5).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "id")))
+    return vectors.local(_search(spark, d, ADMIN, 12, -1.0, 5)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "id")))
 
 
 _HITS = f"WITH h AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS rank FROM ({_search_sql(12, 'src3', 'true', -1.0, 5)}))"

@@ -34,6 +34,7 @@ def documents(spark: SparkSession, d: str, status: bool = True) -> DataFrame:
         (i % 7).alias("uploaded_by"),
         F.when(i % 5 != 0, i % 7).alias("last_updated_by"),
         F.when(i % 50 != 0, F.col("source")).alias("workspace_id"),
+        F.when(i % 11 != 0, i % 13 + 1).alias("pages"),
         F.sha2("text", 256).alias("file_hash"),
         F.col("text").alias("extracted_text"),
         F.when(i % 97 != 0, F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int), 0)")).alias("created_at"),
@@ -47,7 +48,7 @@ def workspaces(spark: SparkSession, d: str) -> DataFrame:
 
 def users(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("c_custkey")
-    return table(spark, d, "customer").where("c_custkey < 7").select(
+    return table(spark, d, "customer").select(
         i.alias("id"), F.col("c_name").alias("full_name"), F.concat(F.lit(" User"), i, F.lit("@Example.COM \n")).alias("email"), F.lit("secret").alias("password"),
         pick(i, "Viewer", "Analyst", "Reviewer", "Administrator", "Owner").alias("role"), (i % 4 != 0).alias("active"), F.when(i != 6, F.concat(F.lit("src"), i)).alias("current_workspace_id"),
     )
@@ -101,7 +102,7 @@ def members(spark: SparkSession, d: str) -> DataFrame:
 
 def audit_logs(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
-    return table(spark, d, "events").select(e.alias("id"), F.when(e % 2 == 0, "document").otherwise("user").alias("auditable_type"), F.when(e % 2 == 0, F.col("user_id")).otherwise(F.col("user_id") % 9).alias("auditable_id"), F.concat(F.lit("event."), "event_type").alias("action"))
+    return table(spark, d, "events").select(e.alias("id"), F.when(e % 2 == 0, "document").otherwise("user").alias("auditable_type"), F.col("user_id").alias("auditable_id"), F.concat(F.lit("event."), "event_type").alias("action"))
 
 
 def of_documents(spark: SparkSession, d: str, values: tuple[str, ...], name: str) -> DataFrame:
@@ -137,7 +138,7 @@ _DEADLINE = '{"title":"T<id>","description":"d","date_type":"explicit","due_date
 
 
 def _lists(field: str, good: str, *second: str) -> tuple[str, ...]:
-    return (*(f'{{"{field}":[{good},{x}]}}' for x in second), f'```json\n{{"{field}":[{good}]}}\n```', "Sorry, no.", f'{{"{field}":[]}}', '{"other":1}')
+    return (*(f'{{"{field}":[{good},{x}]}}' for x in second), f'```json\n{{"{field}":[{good}]}}\n```', "Sorry, no.", f'{{"{field}":[]}}', '{"other":1}', f'{{"{field}":{{"z":{good},"a":{second[0]}}}}}', f'{{"{field}":{{"z":{second[1]},"a":7}}}}', f'{{"{field}":{{}}}}', f'{{"{field}":"none"}}')
 
 
 #: Made-up model output by kind, with planted violations.
@@ -146,9 +147,9 @@ RESPONSES = {
     "risks": _lists("risks", _RISK, '{"title":"x","description":"d","severity":"low","confidence":"1e-1","evidence":"e"}', '{"title":"x","description":"d","severity":"huge","confidence":0.5,"evidence":"e"}', '{"title":5,"description":"d","severity":"low","confidence":0.5,"evidence":"e"}', '{"title":"x","description":"d","severity":"low","confidence":-0.5,"evidence":"e"}', '{"title":"x","description":"d","severity":"low","confidence":0.5,"evidence":""}', '{"title":"x","severity":"low","confidence":0.5,"evidence":"e"}'),
     "deadlines": _lists("deadlines", _DEADLINE, '{"title":"x","description":"d","date_type":"relative","due_date":null,"relative_text":"in May","confidence":0.5,"evidence":"e"}', '{"title":"x","description":"d","date_type":"relative","due_date":"2026-07-14","confidence":0.5,"evidence":"e"}', '{"title":"x","description":"d","date_type":"explicit","confidence":0.5,"evidence":"e"}', '{"title":"x","description":"d","date_type":"explicit","due_date":"14 July 2026","confidence":0.5,"evidence":"e"}', '{"title":"x","description":"d","date_type":"someday","confidence":0.5,"evidence":"e"}', '{"title":"x","description":"d","date_type":"inferred","confidence":"high","evidence":"e"}', '{"title":"x","description":"d","date_type":"explicit","due_date":"2026-2-3","confidence":0.5,"evidence":"e"}'),
     "document_type": ('{"document_type":"invoice","confidence":0.8,"reasoning":"r"}', '{"document_type":"poem","confidence":0.8,"reasoning":"r"}', '{"document_type":3,"confidence":0.8,"reasoning":"r"}', '{"document_type":"other","confidence":"0.25","reasoning":"r"}', '{"document_type":"other","confidence":2,"reasoning":"r"}', '{"document_type":"other","reasoning":"r"}', '{"document_type":"contract","confidence":1,"reasoning":"  "}', '"invoice"', "[]"),
-    "summary": ('{"executive_summary":"s","key_findings":["a"],"critical_risks":[],"upcoming_deadlines":[],"important_entities":["b","c"],"recommended_attention":[]}', '{"executive_summary":" ","key_findings":["a"],"critical_risks":[],"upcoming_deadlines":[],"important_entities":[],"recommended_attention":[]}', '{"executive_summary":"s","key_findings":["a",5],"critical_risks":[],"upcoming_deadlines":[],"important_entities":[],"recommended_attention":[]}', '{"executive_summary":"s","key_findings":["a"],"critical_risks":[]}', '{"executive_summary":"s","key_findings":["a"],"critical_risks":null,"upcoming_deadlines":[],"important_entities":[],"recommended_attention":[]}'),
-    "qa": ('{"answer":"a","confidence":"strong","cited_document_ids":["<id>"]}', '{"answer":"a","confidence":"strong","cited_document_ids":["<id>","9x"]}', '{"answer":"a","confidence":"sure","cited_document_ids":[]}', '{"answer":"a","confidence":"none","cited_document_ids":["<id>"]}', '{"answer":"a","confidence":"none","cited_document_ids":[]}', '{"answer":"a","confidence":"weak","cited_document_ids":[5]}', '{"answer":"","confidence":"weak","cited_document_ids":[]}', '{"answer":"a","confidence":"weak"}'),
-    "insights": ('{"kpis":[],"charts":[],"summary":"s","score":"3.5"}', '{"kpis":"x"}', '{"summary":7}', '{"score":"high"}', '{"charts":null}', "{}", '{"kpis":{"a":1}}'),
+    "summary": ('{"executive_summary":"s","key_findings":["a"],"critical_risks":[],"upcoming_deadlines":[],"important_entities":["b","c"],"recommended_attention":[]}', '{"executive_summary":" ","key_findings":["a"],"critical_risks":[],"upcoming_deadlines":[],"important_entities":[],"recommended_attention":[]}', '{"executive_summary":"s","key_findings":["a",5],"critical_risks":[],"upcoming_deadlines":[],"important_entities":[],"recommended_attention":[]}', '{"executive_summary":"s","key_findings":["a"],"critical_risks":[]}', '{"executive_summary":"s","key_findings":["a"],"critical_risks":null,"upcoming_deadlines":[],"important_entities":[],"recommended_attention":[]}', '{"executive_summary":"s","key_findings":{"one":"a","two":"b"},"critical_risks":{},"upcoming_deadlines":[],"important_entities":[],"recommended_attention":[]}', '{"executive_summary":"s","key_findings":{"z":"a","b":5,"a":6},"critical_risks":[],"upcoming_deadlines":7,"important_entities":[],"recommended_attention":[]}'),
+    "qa": ('{"answer":"a","confidence":"strong","cited_document_ids":["<id>"]}', '{"answer":"a","confidence":"strong","cited_document_ids":["<id>","9x"]}', '{"answer":"a","confidence":"sure","cited_document_ids":[]}', '{"answer":"a","confidence":"none","cited_document_ids":["<id>"]}', '{"answer":"a","confidence":"none","cited_document_ids":[]}', '{"answer":"a","confidence":"weak","cited_document_ids":[5]}', '{"answer":"","confidence":"weak","cited_document_ids":[]}', '{"answer":"a","confidence":"weak"}', '{"answer":"a","confidence":"strong","cited_document_ids":{"first":"<id>"}}', '{"answer":"a","confidence":"strong","cited_document_ids":{"z":"<id>","b":"9y","a":"9x"}}', '{"answer":"a","confidence":"none","cited_document_ids":{}}'),
+    "insights": ('{"kpis":[],"charts":[],"summary":"s","score":"3.5"}', '{"kpis":"x"}', '{"summary":7}', '{"score":"high"}', '{"charts":null}', "{}", '{"kpis":{"a":1}}', '{"kpis":1.5,"charts":[]}', '{"kpis":[],"charts":true}', '{"charts":12}'),
 }
 
 
@@ -168,7 +169,7 @@ SELECT doc_id AS id, 'Doc_' || doc_id || '%' || lang || '.pdf' AS name, ['PDF',
        CASE lang WHEN 'en' THEN 'Public' WHEN 'fr' THEN 'Internal' WHEN 'de' THEN 'Confidential' WHEN 'es' THEN 'Restricted' END AS classification,
        CASE WHEN toxic = 1 THEN 'Failed' WHEN quality = 0 THEN 'Needs Review' WHEN quality = 1 THEN 'Ready' ELSE 'Processing' END AS status,
        (2024 + doc_id % 3)::BIGINT AS year, doc_id % 7 AS uploaded_by, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 7 END AS last_updated_by,
-       CASE WHEN doc_id % 50 = 0 THEN NULL ELSE source END AS workspace_id, sha256(text) AS file_hash, text AS extracted_text,
+       CASE WHEN doc_id % 50 = 0 THEN NULL ELSE source END AS workspace_id, CASE WHEN doc_id % 11 <> 0 THEN doc_id % 13 + 1 END AS pages, sha256(text) AS file_hash, text AS extracted_text,
        CASE WHEN doc_id % 97 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01' + to_minutes(doc_id) END AS created_at
 FROM documents LEFT JOIN labels USING (doc_id)""",
     "v_workspaces": "SELECT DISTINCT source AS id, CASE WHEN substr(source, 4)::INT % 10 = 0 THEN 'Personal' ELSE 'Organization' END AS type FROM documents",
@@ -176,7 +177,7 @@ FROM documents LEFT JOIN labels USING (doc_id)""",
 SELECT c_custkey AS id, c_name AS full_name, ' User' || c_custkey || '@Example.COM ' || chr(10) AS email,
        ['Viewer', 'Analyst', 'Reviewer', 'Administrator', 'Owner'][c_custkey % 5 + 1] AS role, c_custkey % 4 <> 0 AS active,
        CASE WHEN c_custkey = 6 THEN NULL ELSE 'src' || c_custkey END AS current_workspace_id
-FROM customer WHERE c_custkey < 7""",
+FROM customer""",
     "v_embeddings": """
 SELECT e.vec_id AS id, e.vec_id // 4 AS document_id, e.vec_id % 4 AS chunk_index, d.workspace_id, e.embedding::DOUBLE[] AS embedding,
        substr(d.extracted_text, 1 + 200 * (e.vec_id % 4), 200) AS chunk_text
@@ -202,7 +203,7 @@ FROM documents, range(1, {every}) r(k) WHERE k <= doc_id % {every}"""
 }
 SQL |= {
     "v_members": "SELECT id AS user_id, 'src' || (id + k) AS workspace_id, CASE WHEN k = 0 THEN role ELSE 'Analyst' END AS role FROM v_users, (VALUES (0), (1)) t(k)",
-    "v_audit": "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'document' ELSE 'user' END AS auditable_type, CASE WHEN event_id % 2 = 0 THEN user_id ELSE user_id % 9 END AS auditable_id, 'event.' || event_type AS action FROM events",
+    "v_audit": "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'document' ELSE 'user' END AS auditable_type, user_id AS auditable_id, 'event.' || event_type AS action FROM events",
     "v_ocr": f"SELECT doc_id AS id, page_number::BIGINT AS page_number, {_text_sql(TSV, 'doc_id + page_number')} AS tsv FROM documents, (VALUES (2), (1)) p(page_number)",
 } | {f"v_{kind}_out": f"SELECT doc_id AS id, {_text_sql(values, 'doc_id')} AS raw_json FROM documents" for kind, values in RESPONSES.items()}
 #: Findings a document can have, plus one.

@@ -7,6 +7,7 @@ from paperloom.functions import rules
 from paperloom.operators import access, listing, load, text, vectors
 from paperloom.operators.access import Caller
 
+#: Documents of the example data (fixed values).
 SCHEMA = "id long, name string, type string, size_kb long, status string, classification string, year long, uploaded_by long, workspace_id string, created_at timestamp_ntz"
 ROWS = [
     (1, "Q3 Sector Performance Report.pdf", "PDF", 2840, "Ready", "Internal", 2026, 1),
@@ -94,3 +95,26 @@ def test_rendered_values_are_not_searched(spark):
     df = spark.createDataFrame([("{{b}}", "x")], "a string, b string")
     assert df.select(text.rendered("{{a}}-{{b}}", {"a": F.col("b"), "b": F.col("b")})["text"]).first()[0] == "x-x"
     assert df.select(text.rendered("{{a}}", {"a": F.col("a")})["error"]).first()[0] == "unresolved placeholder"
+
+
+def test_enabled_lists():
+    assert rules.enabled_extensions() == ["pdf", "docx", "xlsx"] and len(rules.enabled_mime_types()) == 3
+    assert rules.enabled_mime_types()[0] == "application/pdf" and [rules.type_for_extension(x) for x in (".PDF", "csv", None, "docx")] == ["PDF", None, None, "DOCX"]
+
+
+def test_natural_order(spark):
+    from paperloom.functions.columns import natural_key
+
+    names = ["a1", "a2b1", "a2b10", "a10", "a010b", "a99999999999999999999999", "b", "b0", "b00", "b1", ""]
+    rows = spark.createDataFrame([(x,) for x in reversed(names)], "name string").orderBy(natural_key(F.col("name")), "name")
+    assert [r.name for r in rows.collect()] == ["", "a1", "a2b1", "a2b10", "a10", "a010b", "a99999999999999999999999", "b", "b0", "b00", "b1"]
+
+
+def test_long_recogniser_table(spark):
+    """Words beyond the millionth line count."""
+    from paperloom.operators.text import words_of_tsv
+
+    line = F.lit("5\t1\t1\t1\t1\t1\t0\t0\t9\t9\t-1\tx\n")
+    last = F.lit("5\t1\t1\t1\t1\t1\t0\t0\t9\t9\t90\tlast")
+    got = spark.range(1).select(words_of_tsv(F.concat(F.lit("head\n"), F.repeat(line, F.lit(1_000_100)), last)).alias("w")).first().w
+    assert [(w.position, w.word) for w in got] == [(1_000_100, "last")]
