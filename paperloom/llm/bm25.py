@@ -279,8 +279,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """``doc_id, item_id, score, question_overlap, answer_overlap``: one row per document and test item that it holds.
 
     ``docs`` has doc_id and text, ``items`` item_id and text. Null or empty texts and texts without terms hold and match
-    nothing. Rows that repeat a document or an item are judged each. Documents with a null id come with a null id. Empty
-    tables give an empty result. Other columns are not used. Items shorter than three terms match by their terms.
+    nothing. Rows that repeat a document or an item are judged each. Documents with a null id come with a null id. Texts
+    are searched whole, however long: in windows, each of which is scored. Empty tables give an empty result. Other
+    columns are not used. Items shorter than three terms match by their terms. Documents are read once for each index.
     """
     spark: SparkSession = docs.sparkSession
 
@@ -305,7 +306,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of ``docs``, with all columns, that hold no test item. Null and empty texts stay."""
+    """The rows of ``docs``, with all columns, that hold no test item. Null and empty texts stay; texts are searched whole."""
     place = docs.columns.index("text")
 
     def filtered(rows: DataFrame, index: Index) -> DataFrame:
