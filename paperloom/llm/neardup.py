@@ -115,7 +115,7 @@ def setter(size: int):
 
 
 def _by(rows: DataFrame, key: str) -> Salted:
-    """Joins of ``rows`` (a table) by ``key``, of which few may hold most rows."""
+    """Joins of ``rows`` (a table) by ``key``, of which a few may hold most rows."""
     return Salted(rows.groupBy(key).agg(F.count("*").alias("m")), [key], rows.count())
 
 

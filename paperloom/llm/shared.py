@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that part words: blank and the five ASCII controls 9 to 13.
@@ -64,23 +64,27 @@ class Salted:
 
     ``counts`` has the keys and their number of rows ``m``. A key with more than ``HOT_ROWS`` rows (or a share of
     ``1 / HOT_KEYS`` of ``total``, if that is more) is hot: its rows go to several tasks, and the other side's row goes to each.
-    There are at most ``HOT_KEYS`` hot keys, so that their list can be sent to all tasks whatever the data.
+    There are at most ``HOT_KEYS`` hot keys, so their list fits the driver and all tasks whatever the data; mostly there
+    are none, and the join is a plain one.
     """
 
     def __init__(self, counts: DataFrame, keys: list[str], total: int):
         limit = max(HOT_ROWS, -(-total // HOT_KEYS))
-        self.keys = keys
-        self.hot = counts.where(F.col("m") > limit).select(*keys, F.ceil(F.col("m") / limit).cast("long").alias("_parts"))
+        self.keys, self.hot = keys, None
+        if total > limit:
+            hot = counts.where(F.col("m") > limit).select(*keys, F.ceil(F.col("m") / limit).cast("long").alias("_parts"))
+            if found := hot.collect():
+                self.hot = counts.sparkSession.createDataFrame(found, hot.schema)
 
     def _parts(self, df: DataFrame) -> DataFrame:
         return df.join(F.broadcast(self.hot), self.keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long")))
 
-    def rows(self, df: DataFrame, by: Column) -> DataFrame:
-        return self._parts(df).withColumn("_salt", F.pmod(F.xxhash64(by), F.col("_parts"))).drop("_parts")
-
-    def table(self, df: DataFrame) -> DataFrame:
+    def _table(self, df: DataFrame) -> DataFrame:
         return self._parts(df).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
 
     def join(self, rows: DataFrame, by: str, *tables: DataFrame, how: str = "inner") -> DataFrame:
         """``rows`` with ``tables``; ``by`` names what the rows of a hot key are dealt by."""
-        return reduce(lambda df, t: df.join(self.table(t), [*self.keys, "_salt"], how), tables, self.rows(rows, F.col(by))).drop("_salt")
+        if self.hot is None:
+            return reduce(lambda df, t: df.join(t, self.keys, how), tables, rows)
+        salted = self._parts(rows).withColumn("_salt", F.pmod(F.xxhash64(by), F.col("_parts"))).drop("_parts")
+        return reduce(lambda df, t: df.join(self._table(t), [*self.keys, "_salt"], how), tables, salted).drop("_salt")
