@@ -166,17 +166,23 @@ def _not_string(name: str):
     return lambda x: F.when(~is_text(x), said(NOT_STRING, _place(name, x)))
 
 
+def with_items(responses: DataFrame, *names: str) -> DataFrame:
+    """``responses`` with the items of lists of texts as columns, each made once."""
+    return responses.withColumns({name: items(F.col("j"), name, None) for name in names})
+
+
 def summary_error(j: Column) -> Column:
+    """The first error of a summary; its lists are columns (``with_items``)."""
     out = [first((j.isNull(), F.lit(NOT_JSON)), (is_blank(string(field(j["v"], "executive_summary"))), said(NEEDS_TEXT, field="executive_summary")))]
     for name in SUMMARY_LISTS:
-        listed = items(j, name, None)
+        listed = F.col(name)
         out += [first((listed.isNull(), said(NEEDS_ARRAY, field=name))), _first_of(listed, _not_string(name))]
     return F.coalesce(*out)
 
 
 def qa_error(j: Column, available: Column) -> Column:
-    """Answers cite only what was retrieved, and an answer of no confidence cites nothing."""
-    cited, word = items(j, "cited_document_ids", None), field(j["v"], "confidence")
+    """Answers cite only what was retrieved, and an answer of no confidence cites nothing. Citations are a column (``with_items``)."""
+    cited, word = F.col("cited_document_ids"), field(j["v"], "confidence")
 
     def of_id(x: Column) -> Column:
         return first((~is_text(x), said(NOT_STRING, _place("cited_document_ids", x))), (~F.array_contains(available, x["text"]), said(NOT_RETRIEVED, value=x["text"])))
@@ -212,5 +218,9 @@ def checked_items(responses: DataFrame, name: str) -> DataFrame:
 
 
 def valid_items(responses: DataFrame, name: str) -> DataFrame:
-    """``id, k`` (from 0) and ``x``, the fields, for each item of the valid responses."""
-    return checked_items(responses, name).where("error IS NULL").select("id", F.posexplode("items").alias("k", "x"))
+    """``id, k`` (from 0) and ``x``, the fields, for each item of the valid responses.
+
+    A filter on the error, or one that an inner explode implies, would be pushed below and work all of it out again.
+    """
+    good = checked_items(responses, name).select("id", F.when(F.col("error").isNull(), F.col("items")).alias("items"))
+    return good.select("id", F.posexplode_outer("items").alias("k", "x")).where("k IS NOT NULL")

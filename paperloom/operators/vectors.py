@@ -35,7 +35,8 @@ def search(embeddings: DataFrame, docs: DataFrame, caller: Caller, query: list[f
     seen = visible(docs, caller, search=True).select(F.col("id").alias("document_id"))
     best = local(top_k(chunks.join(seen, "document_id"), query, k))
     ids, owners = ([r[c] for r in best.collect()] for c in ("id", "document_id"))
-    texts = embeddings.where(one_of(F.col("id"), ids)).select("id", "chunk_index", F.col("chunk_text").alias("excerpt"))
+    # the owners' ids reach the scan of documents through the join
+    texts = embeddings.where(one_of(F.col("id"), ids) & one_of(F.col("document_id"), owners)).select("id", "chunk_index", F.col("chunk_text").alias("excerpt"))
     names = docs.where(one_of(F.col("id"), owners)).select(F.col("id").alias("document_id"), "name", "classification")
     found = best.where(F.col("similarity") >= floor).join(texts, "id").join(names, "document_id")
     return found.select("id", "document_id", "name", "classification", "chunk_index", "excerpt", F.round("similarity", 4).alias("similarity"))
@@ -43,7 +44,7 @@ def search(embeddings: DataFrame, docs: DataFrame, caller: Caller, query: list[f
 
 def local(best: DataFrame) -> DataFrame:
     """The rows of a top-k list as a local table, so that what is joined to it doesn't search again."""
-    return best.sparkSession.createDataFrame(best.collect(), best.schema)
+    return best.sparkSession.createDataFrame(best.toArrow(), best.schema)
 
 
 def gathered(rows: DataFrame, key: str, order: str, fields: list[Column], name: str) -> DataFrame:
@@ -52,12 +53,12 @@ def gathered(rows: DataFrame, key: str, order: str, fields: list[Column], name:
 
 
 def context(hits: DataFrame, docs: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
-    """One row a document of the hits: its excerpts and its children (``document_id``, ``id``, ...) as JSON."""
+    """One row a document of the hits (a top-k list): its excerpts and its children (``document_id``, ``id``, ...) as JSON."""
+    ids = sorted({r.document_id for r in hits.select("document_id").collect()})
     found = gathered(hits, "document_id", "rank", [F.col("excerpt").alias("text"), F.col("similarity").alias("score")], "excerpts")
-    out = docs.select(F.col("id").alias("document_id"), "name", "classification").join(found, "document_id")
-    ids = found.select("document_id")
+    out = docs.where(one_of(F.col("id"), ids)).select(F.col("id").alias("document_id"), "name", "classification").join(found, "document_id")
     for name, rows in children.items():
-        part = rows.join(ids, "document_id", "left_semi")
+        part = rows.where(one_of(F.col("document_id"), ids))
         listed = gathered(part, "document_id", "id", [F.col(c) for c in rows.columns if c not in ("id", "document_id")], name)
         out = out.join(listed, "document_id", "left")
     return out

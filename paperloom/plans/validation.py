@@ -130,7 +130,7 @@ r AS (SELECT j.id, CASE WHEN j IS NULL THEN '{v.NOT_JSON}' WHEN NOT {_text('j',
 
 @query(_summary_sql() + _CHECKED)
 def validate_summary(spark: SparkSession, d: str) -> DataFrame:
-    return v.checked(decoded(spark, d, "summary"), v.summary_error(F.col("j")))
+    return v.checked(v.with_items(decoded(spark, d, "summary"), *v.SUMMARY_LISTS), v.summary_error(F.col("j")))
 
 
 @query(f"""WITH {_decoded_sql("qa")}, {_items_sql("cited_document_ids")},
@@ -141,7 +141,7 @@ r AS (SELECT j.id, CASE WHEN j IS NULL THEN '{v.NOT_JSON}' WHEN NOT {_text("j",
   WHEN coalesce(json_type(j, '$.cited_document_ids'), '') NOT IN ('ARRAY', 'OBJECT') THEN {_said(v.NEEDS_ARRAY, field="cited_document_ids")}
   WHEN b.error IS NOT NULL THEN b.error WHEN (j ->> '$.confidence') = 'none' AND j.id IN (SELECT id FROM n) THEN {_said(v.NONE_CITES)} END AS error FROM j LEFT JOIN b ON b.id = j.id) {_CHECKED}""")
 def validate_qa_citations(spark: SparkSession, d: str) -> DataFrame:
-    return v.checked(decoded(spark, d, "qa"), v.qa_error(F.col("j"), F.array(F.col("id").cast("string"))))
+    return v.checked(v.with_items(decoded(spark, d, "qa"), "cited_document_ids"), v.qa_error(F.col("j"), F.array(F.col("id").cast("string"))))
 
 
 def _wrong_type(field: str, wanted: str, good: str) -> str:
