@@ -2,9 +2,9 @@
 
 Each document gets a hash-random key, of its id and text. Within its source, documents are sorted by key; the running sum
 of their sizes says where the mix cuts the source. The sum is a distributed prefix sum: the key space of a source is
-dealt into equal ranges, more of them the more documents the largest source has (a range partitioning, as keys are
-uniform), range totals are summed first, the totals' running sum gives each range its offset, and only then does each
-range sum its own documents. No task holds more than a range of a source, however hot the source is.
+dealt into as many equal ranges as the square root of the largest source's number of documents (a range partitioning, as
+keys are uniform), range totals are summed first, the totals' running sum gives each range its offset, and only then does
+each range sum its own documents. So no task orders more than about that root: a range, or the ranges of a source.
 
 Rows that are alike in source, id and text are one row with a count in all of this, and numbered only at the end. Texts
 are read once for sizes and keys. The mix itself joins what it takes of each document to the documents by key, so that
@@ -13,13 +13,15 @@ texts are neither sorted nor dealt out by range.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import WORD, Salted, Scratch
 
-#: Documents of a range, about, and the most rows that one row with a count becomes in one place.
-RANGE_ROWS, ALIKE_ROWS = 10_000, 10_000
+#: The most rows that one row with a count becomes in one place.
+ALIKE_ROWS = 10_000
 #: Weights by the rank of the source's name, repeating.
 WEIGHTS = (5, 2, 1)
 #: Size of the mix as a share of all sizes, and the most epochs of a source.
@@ -72,7 +74,7 @@ def _placed(scratch: Scratch, slim: DataFrame) -> DataFrame:
     ``left`` are the words of the last epoch that are left for the first of the rows; each one takes its size of them.
     """
     most = slim.groupBy("src").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 1
-    ranges = max(1, -(-most // RANGE_ROWS))
+    ranges = math.isqrt(most) + 1
     # eight hex digits of the key as a fraction: ranges of it are in the order of keys
     keyed = slim.withColumn("range", F.expr(f"CAST(conv(substring(key, 1, 8), 16, 10) AS BIGINT) * {ranges} DIV {1 << 32}"))
     per_range = scratch.write(keyed.groupBy("src", "range").agg(F.sum("size").alias("range_size")), "ranges")

@@ -713,7 +713,6 @@ def plain_mix(rows: list) -> list:
 def test_mixing_of_rows_alike(spark, monkeypatch):
     """Rows of one source, id and text, more of them than a task makes at once, and null ids with texts of their own."""
     monkeypatch.setattr(mixing, "ALIKE_ROWS", 7)
-    monkeypatch.setattr(mixing, "RANGE_ROWS", 5)
     monkeypatch.setattr(shared, "HOT_ROWS", 10)
     rows = [(1, "a", "one two three")] * 40 + [(None, "b", f"w{i} x") for i in range(30)] + [(i, None, "y " * i) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
