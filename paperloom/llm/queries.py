@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, html_text, mixing, neardup, pii, quality, repeats, topk, toxicity, url_filter
+from . import bm25, filter_audit, html_text, mixing, neardup, pii, quality, repeats, runs, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,14 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(_table(spark, sf_dir, "documents"), content=False)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.summary(runs.collapsed(_table(spark, sf_dir, "documents"), altered=runs.tail_of_one_period))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.replay(filter_audit.flags(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op8_toxicity": op8_toxicity,
@@ -65,9 +73,12 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_suffix_array": op10_suffix_array,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_filter_audit": op12_filter_audit,
 }
 ORACLES = {
     "op5_topk": topk.ORACLE,
     "op7_mixing": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.ORACLE})",
     "op9_url_filter": url_filter.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }

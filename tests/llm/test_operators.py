@@ -37,7 +37,7 @@ def texts(spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SMALL).toArrow(), con.sql(queries.ORACLES[name]).to_arrow_table()
     order = sorted(want.column_names)
