@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, filter_audit, html_text, mixing, neardup, pii, quality, repeats, runs, topk, toxicity, url_filter
+from . import bm25, filter_audit, html_text, lang_crf, mixing, neardup, pii, quality, repeats, runs, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.replay(filter_audit.flags(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = lang_crf.fit(docs.where(~lang_crf.held_out()))
+    return lang_crf.label(docs, model).select("doc_id", lang_crf.held_out().alias("held_out"), "lang_pred", "score", "spans")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op8_toxicity": op8_toxicity,
@@ -75,6 +81,7 @@ QUERIES = {
     "op10_suffix_array": op10_suffix_array,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_filter_audit": op12_filter_audit,
+    "op13_language_id": op13_language_id,
 }
 ORACLES = {
     "op5_topk": topk.ORACLE,

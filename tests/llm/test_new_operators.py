@@ -9,9 +9,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from paperloom.llm import filter_audit, queries, runs, shared
+from paperloom.llm import filter_audit, lang_crf, queries, runs, shared
 
-from .test_operators import SMALL, odd, table, texts  # noqa: F401  odd is a fixture
+from .test_operators import MIDDLE, SMALL, odd, table, texts  # noqa: F401  odd is a fixture
 
 
 def plain_runs(words: list, least: int = 24, repeats: int = 3) -> list:
@@ -121,3 +121,92 @@ def test_filter_audit_of_odd_tables(spark, odd, monkeypatch):  # noqa: F811
     rows = sorted(map(tuple, got.select(order).collect()))
     assert rows == audit_sql(con) and len(rows) == 600 * len({r[0] for r in rows}) and sum(r[4] for r in rows) > 0
     assert filter_audit.replay(filter_audit.flags(docs.where("false"), labels)).count() == 0
+
+
+# language labels
+
+
+def plain_chances(model, words):
+    """Forward and backward one word at a time."""
+    scores = np.exp(model.scores(words))
+    ahead, behind = [np.exp(model.start) * scores[0]], [np.ones(len(model.langs))]
+    for e in scores[1:]:
+        ahead.append((ahead[-1] @ np.exp(model.move)) * e)
+    for e in scores[:0:-1]:
+        behind.append(np.exp(model.move) @ (e * behind[-1]))
+    p = np.array(ahead) * np.array(behind[::-1])
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def some_model(seed=1, langs=("de", "en", "fr")):
+    rng, n = np.random.default_rng(seed), len(langs)
+    return lang_crf.Model(list(langs), rng.normal(0, 3, (lang_crf.BUCKETS, n)).astype(np.float32), {"der": 0, "the": 1}, np.eye(n)[:2], rng.normal(0, 1, (n, n)), rng.normal(0, 1, (n, n)), rng.normal(0, 1, n))
+
+
+def test_chains_in_blocks_equal_plain_passes(monkeypatch):
+    """Texts of fewer and more words than a block, in slabs of two blocks, all at once."""
+    monkeypatch.setattr(lang_crf, "BLOCK", 4)
+    monkeypatch.setattr(lang_crf, "SLAB", 2)
+    model, rng = some_model(), random.Random(2)
+    vocabulary = ["der", "the", "le", "Wörter", "words", "mots", "x"]
+    docs = [[rng.choice(vocabulary) for _ in range(n)] for n in (1, 3, 4, 5, 8, 40, 2)]
+    number = np.array([vocabulary.index(w) for d in docs for w in d])
+    got = np.concatenate(list(lang_crf.Chains(model, model.scores(vocabulary), number, np.array([len(d) for d in docs])).chances()))
+    assert np.allclose(got, np.concatenate([plain_chances(model, d) for d in docs]), atol=1e-8)
+
+
+def test_expected_counts_equal_slopes():
+    """What training takes for the slope of the logarithm of all chains' sum is that, by small steps."""
+    rng = np.random.default_rng(4)
+    emitted, move, start = rng.normal(0, 1, (2, 3, 2)), rng.normal(0, 1, (2, 2)), rng.normal(0, 1, 2)
+
+    def total(move):
+        out = 0.0
+        for e in emitted:
+            v = np.exp(start + e[0])
+            for x in e[1:]:
+                v = (v @ np.exp(move)) * np.exp(x)
+            out += np.log(v.sum())
+        return out
+
+    _, moved = lang_crf._expected(emitted, move, start)
+    for a in range(2):
+        for b in range(2):
+            step = np.zeros((2, 2))
+            step[a, b] = 1e-5
+            assert abs((total(move + step) - total(move - step)) / 2e-5 - moved[a, b]) < 1e-6
+
+
+def test_language_of_held_out_documents(spark):
+    got = queries.op13_language_id(spark, MIDDLE).join(table(spark, "documents", MIDDLE).select("doc_id", "lang", "text"), "doc_id").collect()
+    assert len(got) == 1000 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
+    right = [r.lang == r.lang_pred for r in got if r.held_out]
+    assert len(right) > 150 and np.mean(right) > 0.98
+
+
+def test_code_switched_text(spark):
+    """Sentences of held-out documents of three languages in one text: most words get their own language."""
+    docs = table(spark, "documents", MIDDLE)
+    model = lang_crf.fit(docs.where(~lang_crf.held_out()))
+    held = [(r.lang, r.text[:160].rpartition(" ")[0]) for r in docs.where(lang_crf.held_out()).where("n_chars > 400").orderBy("doc_id").collect()]
+    pieces = [p for i in range(8) for lang in ("de", "en", "fr", "es") for p in [x for x in held if x[0] == lang][i : i + 1]]
+    text, truth = " \n".join(t for _, t in pieces), []
+    for lang, t in pieces:
+        truth += [lang] * len(t) + [""] * 2
+    (r,) = lang_crf.label(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert len(r.spans) >= len(pieces) / 2 and all(text[s.start : s.end].strip() == text[s.start : s.end] for s in r.spans)
+    agree = [truth[i] == s.lang for s in r.spans for i in range(s.start, s.end) if truth[i]]
+    assert np.mean(agree) > 0.9
+
+
+def test_language_of_odd_tables(spark, odd):  # noqa: F811
+    """Nothing learned: all undecided. One language: always it, but for texts without letters. Labels of nulls teach nothing."""
+    none = lang_crf.fit(odd.where("false"))
+    assert {(r.lang_pred, r.score, len(r.spans)) for r in lang_crf.label(odd, none).collect()} == {("und", 0.0, 0)}
+    one = lang_crf.fit(odd)
+    for r in lang_crf.label(odd, one).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
+        assert (r.lang_pred, round(r.score, 9)) == (("en", 1.0) if r.text and re.search(r"[^\W\d_]", r.text) else ("und", 0.0))
+        assert [tuple(s) for s in r.spans] == ([(re.search(r"[^\W\d_]", r.text).start(), len(r.text.rstrip("0123456789.@ ")), "en")] if r.lang_pred == "en" else [])
+    assert lang_crf.label(odd.where("false"), one).count() == 0
+    several = odd.unionByName(odd.selectExpr("*").withColumn("lang", odd["label"]))
+    assert lang_crf.fit(several).langs == ["en", "l"]
