@@ -27,6 +27,12 @@ def backfilled(children: DataFrame, parents: DataFrame) -> DataFrame:
     return children.join(own, "document_id", "left").withColumn("workspace_id", F.coalesce("workspace_id", "_w")).drop("_w")
 
 
+def backfilled_through(points: DataFrame, charts: DataFrame, parents: DataFrame) -> DataFrame:
+    """Points (chart_id) without a workspace take that of their chart's document; charts are joined to documents first, being fewer."""
+    owners = charts.select(F.col("id").alias("chart_id"), "document_id").join(parents.select(F.col("id").alias("document_id"), F.col("workspace_id").alias("_w")), "document_id").select("chart_id", "_w")
+    return points.join(owners, "chart_id", "left").withColumn("workspace_id", F.coalesce("workspace_id", "_w")).drop("_w")
+
+
 def first_copies(docs: DataFrame) -> DataFrame:
     """The first document of each content in each workspace (none is a workspace too); later ones are refused."""
     order = F.struct(F.col("created_at").isNull(), "created_at", "id")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import INTELLIGENCE_STAGES
-from ..operators import load
-from ..sources import table, views
+from ..operators import chain, load, writes
+from ..sources import store, table, views
+from ..streaming import copies
 from .registry import query
-from .text import _PROMPTS, prompts
 
 _LATEST = "SELECT document_id, stage, status, created_at FROM v_jobs QUALIFY row_number() OVER (PARTITION BY document_id, stage ORDER BY created_at DESC, id DESC) = 1"
 
@@ -62,6 +62,18 @@ def replace_children(spark: SparkSession, d: str) -> DataFrame:
     return load.replace_children(old, processed, new)
 
 
+@query(f"{_KEPT} UNION ALL SELECT id, document_id, 'new', percent FROM v_entities WHERE document_id % 4 = 0 AND document_id % 8 <> 0")
+def replace_children_written(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a table: all documents' children in one batch, every fourth document's anew in the next, which comes twice."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"))
+    rows = views.findings(spark, d, "entities", views.EVERY["entities"]).select("id", "document_id", "value", "percent")
+    children = writes.Children(spark, store.shared_folder(spark, "children"), "id long, document_id long, value string, percent long", buckets=16)
+    children.replace(0, docs, rows)
+    for _ in range(2):
+        children.replace(1, docs.where("document_id % 4 = 0"), rows.where("document_id % 4 = 0 AND document_id % 8 <> 0").withColumn("value", F.lit("new")))
+    return children.read()
+
+
 @query("SELECT doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'invoice' ELSE 'other' END AS document_type FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
 def upsert_classification(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"))
@@ -83,6 +95,17 @@ def backfill_workspace_id(spark: SparkSession, d: str) -> DataFrame:
     return load.backfilled(children, views.documents(spark, d, status=False)).select("id", "workspace_id")
 
 
+@query("""
+WITH p AS (SELECT id AS chart_id, unnest(data).label AS label FROM v_charts)
+SELECT p.chart_id, p.label, coalesce(CASE WHEN p.chart_id % 3 <> 0 THEN 'own' END, d.workspace_id) AS workspace_id
+FROM p LEFT JOIN v_charts c ON c.id = p.chart_id LEFT JOIN v_documents d ON d.id = c.document_id""")
+def backfill_points_workspace(spark: SparkSession, d: str) -> DataFrame:
+    """Points of charts have no document of their own: they take the workspace of their chart's."""
+    charts = views.charts(spark, d)
+    points = charts.select(F.col("id").alias("chart_id"), F.explode("data.label").alias("label")).withColumn("workspace_id", F.when(F.col("chart_id") % 3 != 0, "own"))
+    return load.backfilled_through(points, charts, views.documents(spark, d, status=False)).select("chart_id", "label", "workspace_id")
+
+
 @query("SELECT id, document_id FROM v_kpis k WHERE EXISTS (SELECT 1 FROM v_documents d WHERE d.id = k.document_id AND d.status <> 'Failed')")
 def cascade_delete_children(spark: SparkSession, d: str) -> DataFrame:
     """Children of deleted documents go with them."""
@@ -97,9 +120,38 @@ def set_null_on_delete(spark: SparkSession, d: str) -> DataFrame:
     return views.documents(spark, d, status=False).join(gone, "uploaded_by", "left").select("id", F.when(F.col("gone").isNull(), F.col("uploaded_by")).cast("string").alias("uploaded_by"))
 
 
-@query(f"SELECT name, version, CASE WHEN name = 'summary' THEN version = 1 ELSE active END AS active FROM {_PROMPTS}")
+@query("SELECT name, version, CASE WHEN name = 'prompt_3' THEN version = 1 ELSE active END AS active FROM v_prompts")
 def prompt_activate(spark: SparkSession, d: str) -> DataFrame:
-    return load.activated(prompts(spark), "summary", 1).select("name", "version", "active")
+    return load.activated(views.prompts(spark, d), "prompt_3", 1).select("name", "version", "active")
+
+
+_CHAIN = ("scan", "extract", "insights", "embeddings")
+
+
+@query("""
+WITH x AS (SELECT d.id, CASE WHEN substr(d.file_hash, 1, 1) = 'f' THEN 'infected' END AS scan, CASE WHEN length(d.extracted_text) < 200 THEN 'no text' END AS extract,
+  o.error AS insights, CASE WHEN d.pages IS NULL THEN 'no pages' END AS embeddings FROM v_documents d JOIN ({insights}) o ON o.id = d.id)
+SELECT id, CASE WHEN scan IS NOT NULL THEN 0 WHEN extract IS NOT NULL THEN 1 WHEN insights IS NOT NULL THEN 2 WHEN embeddings IS NOT NULL THEN 3 ELSE 4 END AS done,
+  CASE WHEN scan IS NOT NULL THEN 'scan' WHEN extract IS NOT NULL THEN 'extract' WHEN insights IS NOT NULL THEN 'insights' WHEN embeddings IS NOT NULL THEN 'embeddings' END AS stopped_at,
+  coalesce(scan, extract, insights, embeddings) AS error FROM x""".replace("{insights}", "SELECT id, CASE WHEN id % 10 IN (1, 4, 8) THEN 'bad answer' END AS error FROM v_documents"))
+def chain_run(spark: SparkSession, d: str) -> DataFrame:
+    """Documents through four stages in order; each stage sees what the one before it let through."""
+    i = F.col("id")
+    faults = {
+        "scan": F.when(F.substring("file_hash", 1, 1) == "f", "infected"),
+        "extract": F.when(F.length("extracted_text") < 200, "no text"),
+        "insights": F.when((i % 10).isin(1, 4, 8), "bad answer"),
+        "embeddings": F.when(F.col("pages").isNull(), "no pages"),
+    }
+    stages = [(name, lambda live, name=name: live.withColumn("error", faults[name])) for name in _CHAIN]
+    return chain.run(views.documents(spark, d, status=False).select("id", "file_hash", "extracted_text", "pages"), stages, store.shared_folder(spark, "chain"))
+
+
+@query("SELECT id, row_number() OVER (PARTITION BY workspace_id, file_hash ORDER BY created_at NULLS LAST, id) = 1 AS accepted FROM v_documents")
+def first_copies_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Every document accepted or refused by the table of hashes that streams keep."""
+    docs = views.documents(spark, d, status=False).select("id", "workspace_id", "file_hash", "created_at")
+    return copies.FirstCopies(spark, store.shared_folder(spark, "copies")).judge(docs, 0).select("id", "accepted")
 
 
 @query("""

@@ -117,7 +117,6 @@ def extract_dispatch(spark: SparkSession, d: str) -> DataFrame:
 
 
 PROMPTS = [("summary", 1, "Old: {{name}}", False), ("summary", 2, "Summarise {{name}}:\n{{text}}\nEnd of {{name}}.", True), ("risks", 1, "Risks of {{nothing}}", True), ("risks", 2, "Risks", False)]
-_PROMPTS = "(VALUES " + ", ".join(f"('{n}', {v}, {a})" for n, v, _, a in PROMPTS) + ") p(name, version, active)"
 
 
 def prompts(spark: SparkSession) -> DataFrame:
@@ -132,9 +131,10 @@ def active_template(rows: DataFrame, name: str) -> str:
     return found[0][0]
 
 
-@query(f"SELECT name, version FROM {_PROMPTS} WHERE active")
+@query("SELECT name, version, template FROM v_prompts WHERE active")
 def prompt_active(spark: SparkSession, d: str) -> DataFrame:
-    return prompts(spark).where("active").select("name", "version")
+    """The active version of every prompt."""
+    return views.prompts(spark, d).where("active").select("name", "version", "template")
 
 
 @query(f"""

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import strict_date
 from ..functions.rules import DATE_TYPES, DOCUMENT_TYPES, ENTITY_TYPES, QA_CONFIDENCES, SEVERITIES
+from ..operators import fanout
 from ..operators import validation as v
-from ..sources import views
+from ..sources import table, views
 from .registry import query
 
 
@@ -107,10 +108,13 @@ def validate_deadlines(spark: SparkSession, d: str) -> DataFrame:
 _N = _numeric("j", "confidence")
 
 
-@query(f"""WITH {_decoded_sql("document_type")}, r AS (SELECT id, CASE WHEN j IS NULL THEN '{v.NOT_JSON}' WHEN json_type(j, '$.document_type') IS DISTINCT FROM 'VARCHAR' THEN {_said(v.NEEDS_STRING, field="document_type")}
+_TYPE_SQL = f"""WITH {_decoded_sql("document_type")}, r AS (SELECT id, CASE WHEN j IS NULL THEN '{v.NOT_JSON}' WHEN json_type(j, '$.document_type') IS DISTINCT FROM 'VARCHAR' THEN {_said(v.NEEDS_STRING, field="document_type")}
   WHEN NOT {_word("j", "document_type", DOCUMENT_TYPES)} THEN {_said(v.NOT_KNOWN, "' document_type'", "(j ->> '$.document_type')")}
   WHEN {_N} IS NULL THEN {_said(v.NEEDS_NUMBER, field="confidence")} WHEN {_N} > 1 OR {_N} < 0 THEN {_said(v.OUTSIDE, "' confidence'", _shown(_N))}
-  WHEN NOT {_text("j", "reasoning")} THEN {_said(v.NEEDS_TEXT, field="reasoning")} END AS error FROM j) {_CHECKED}""")
+  WHEN NOT {_text("j", "reasoning")} THEN {_said(v.NEEDS_TEXT, field="reasoning")} END AS error FROM j)"""
+
+
+@query(_TYPE_SQL + " " + _CHECKED)
 def validate_document_type(spark: SparkSession, d: str) -> DataFrame:
     return v.checked(decoded(spark, d, "document_type"), v.type_error(F.col("j")))
 
@@ -177,3 +181,28 @@ def risks_rows(spark: SparkSession, d: str) -> DataFrame:
 def deadlines_rows(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("x")
     return v.valid_items(decoded(spark, d, "deadlines"), "deadlines").select("id", "k", v.string(x["title"]).alias("title"), v.string(x["date_type"]).alias("date_type"), strict_date(v.string(x["due_date"])).cast("string").alias("due_date"), v.string(x["relative_text"]).alias("relative_text"), F.lit("open").alias("status"))
+
+
+def _all_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the responses of all detectors."""
+    i = F.col("doc_id")
+    return table(spark, d, "documents").select(i.alias("id"), *[F.replace(views.pick(i, *views.RESPONSES[n]), F.lit("<id>"), i.cast("string")).alias(n) for n in fanout.DETECTORS])
+
+
+def _outcomes_sql(field: str) -> str:
+    if field == "document_type":
+        return _TYPE_SQL + " SELECT id, error, 1 AS n FROM r"
+    return _list_sql(field) + " SELECT r.id, r.error, (SELECT count(*) FROM e WHERE e.id = r.id) AS n FROM r"
+
+
+@query(
+    "SELECT document_type.id, "
+    + ", ".join(f"(CASE WHEN {n}.error IS NULL THEN {n}.n END)::INT AS {n}" for n in fanout.DETECTORS)
+    + ", array_to_string(list_filter(["
+    + ", ".join(f"CASE WHEN {n}.error IS NOT NULL THEN '{n}' END" for n in fanout.DETECTORS)
+    + "], lambda x: x IS NOT NULL), ',') AS failed FROM "
+    + " JOIN ".join(f"({_outcomes_sql(n)}) {n}" + (f" ON {n}.id = document_type.id" if k else "") for k, n in enumerate(fanout.DETECTORS))
+)
+def intelligence_fanout(spark: SparkSession, d: str) -> DataFrame:
+    """Four detectors over one reading; what each found, and which failed, for every document."""
+    return fanout.FanOut(_all_responses(spark, d)).summary()

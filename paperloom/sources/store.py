@@ -51,3 +51,8 @@ def kept(df: DataFrame, path: str, *by: str) -> DataFrame:
     """``df`` as a table at ``path``, in folders ``by`` the given columns."""
     df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def make(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.mkdirs(at)

@@ -153,6 +153,13 @@ RESPONSES = {
 }
 
 
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Four versions of a prompt for every four documents, one of them active; templates are the documents' first lines."""
+    i = F.col("doc_id")
+    number = F.expr("doc_id div 4")
+    return table(spark, d, "documents").select(F.concat(F.lit("prompt_"), number).alias("name"), (i % 4 + 1).alias("version"), (i % 4 == number % 4).alias("active"), F.substring_index("text", "\n", 1).alias("template"))
+
+
 def responses(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return of_documents(spark, d, RESPONSES[kind], "raw_json")
 
@@ -203,6 +210,7 @@ FROM documents, range(1, {every}) r(k) WHERE k <= doc_id % {every}"""
 }
 SQL |= {
     "v_members": "SELECT id AS user_id, 'src' || (id + k) AS workspace_id, CASE WHEN k = 0 THEN role ELSE 'Analyst' END AS role FROM v_users, (VALUES (0), (1)) t(k)",
+    "v_prompts": "SELECT 'prompt_' || (doc_id // 4) AS name, doc_id % 4 + 1 AS version, doc_id % 4 = (doc_id // 4) % 4 AS active, split_part(text, chr(10), 1) AS template FROM documents",
     "v_audit": "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'document' ELSE 'user' END AS auditable_type, user_id AS auditable_id, 'event.' || event_type AS action FROM events",
     "v_ocr": f"SELECT doc_id AS id, page_number::BIGINT AS page_number, {_text_sql(TSV, 'doc_id + page_number')} AS tsv FROM documents, (VALUES (2), (1)) p(page_number)",
 } | {f"v_{kind}_out": f"SELECT doc_id AS id, {_text_sql(values, 'doc_id')} AS raw_json FROM documents" for kind, values in RESPONSES.items()}
