@@ -30,6 +30,8 @@ from .components import components
 from .shared import Salted, Scratch
 
 BANDS, ROWS = 60, 6
+#: Ids (8 bytes each) that are sent to all tasks at most, to pick their sets before a shuffle.
+FEW_IDS = 100_000
 #: Shingle words and least similarity in per cent, unless a caller says otherwise.
 WORDS, PERCENT = 5, 80
 
@@ -122,6 +124,10 @@ def _by(rows: DataFrame, key: str) -> Salted:
 def _confirmed(scratch: Scratch, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets reach the similarity; a centre is in many pairs, on either side."""
     pairs = scratch.write(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if ids.count() <= FEW_IDS:
+        # later rounds ask for few sets: those alone are shuffled
+        sets = sets.join(F.broadcast(ids), "id", "left_semi")
     one = _by(pairs, "a").join(pairs, "b", sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")))
     both = _by(pairs, "b").join(one, "a", sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -194,14 +200,18 @@ def _relabelled(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFr
     return found
 
 
-def _of_one_document(real: DataFrame, equal: DataFrame) -> DataFrame:
-    """Links (a, b) between the sets of rows that repeat a doc_id with another set."""
-    key = F.xxhash64("n", "d1", "d2")
-    several = real.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo < hi").select("doc_id")
-    sets = ["n", "d1", "d2"]
-    named = real.join(several, "doc_id", "left_semi").select("doc_id", *sets).distinct().join(equal.select("id", *sets), sets)
+def _of_one_document(scratch: Scratch, real: DataFrame, equal: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the sets of rows that repeat a doc_id with another set; none where no id has several."""
+    key, sets = F.xxhash64("n", "d1", "d2"), ["n", "d1", "d2"]
+    several = real.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("m")).where("lo < hi").select("doc_id", "m")
+    several = scratch.write(several, "several")
+    if not (total := several.agg(F.sum("m")).first()[0]):
+        return None
+    by_id = Salted(several, ["doc_id"], total)
+    named = by_id.join(real.select("doc_id", *sets), "d1", several.select("doc_id"), how="left_semi").distinct().join(equal.select("id", *sets), sets)
+    named = scratch.write(named.select("doc_id", "id"), "named")
     first = named.groupBy("doc_id").agg(F.min("id").alias("a"))
-    return named.join(first, "doc_id").where("a < id").select("a", F.col("id").alias("b")).distinct()
+    return by_id.join(named, "id", first).where("a < id").select("a", F.col("id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -233,7 +243,8 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     pairs = tied.where(_close("na", "n", percent)).select(*ordered).distinct()
     sets = _sets(scratch, docs, equal, tied.select(F.explode(F.array("a", "id")).alias("id")).distinct(), size)
     confirmed = _confirmed(scratch, sets, pairs, percent)
-    labels = components(scratch, confirmed.union(_of_one_document(real, equal)))
+    of_one = _of_one_document(scratch, real, equal)
+    labels = components(scratch, confirmed if of_one is None else confirmed.union(of_one))
     scratch.drop(confirmed)
 
     def labelled(members: DataFrame) -> DataFrame:

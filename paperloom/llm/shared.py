@@ -73,12 +73,15 @@ class Salted:
         limit = max(HOT_ROWS, -(-total // HOT_KEYS))
         self.keys, self.hot = keys, None
         if total > limit:
-            hot = counts.where(F.col("m") > limit).select(*keys, F.ceil(F.col("m") / limit).cast("long").alias("_parts"))
-            if found := hot.collect():
-                self.hot = counts.sparkSession.createDataFrame(found, hot.schema)
+            # told by one number, whatever the key's columns: both sides deal out a key by the same number, and a relation
+            # of single numbers is a small one in every task's memory
+            hot = counts.where(F.col("m") > limit).select(F.xxhash64(*keys).alias("_hot"), F.ceil(F.col("m") / limit).cast("long").alias("_parts"))
+            if found := hot.groupBy("_hot").agg(F.max("_parts").alias("_parts")).collect():
+                self.hot = counts.sparkSession.createDataFrame(found, "_hot long, _parts long")
 
     def _parts(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.hot), self.keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long")))
+        told = df.withColumn("_hot", F.xxhash64(*self.keys)).join(F.broadcast(self.hot), "_hot", "left").drop("_hot")
+        return told.withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long")))
 
     def _table(self, df: DataFrame) -> DataFrame:
         return self._parts(df).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
