@@ -82,6 +82,8 @@ def labelled(docs, labels, label: str, most: int):
     from pyspark.sql import functions as F
 
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+    # labels without a document don't use up the bound
+    ids = ids.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # ``most`` rows: a bound of its own
     first = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
