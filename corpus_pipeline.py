@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import bm25, mixing, neardup, pii, toxicity
-from paperloom.llm.shared import WORD, written
+from paperloom.llm.shared import WORD, Salted, Scratch, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +40,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(~F.col("kept")).alias("gone"))
     told = written(ids.where("gone OR n > 1"), "told")
     key = F.when(F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False)), F.col("doc_id").cast("long"))
-    # rows without a key are dealt out by their text, not to the one task of nulls
-    salt = F.when(key.isNull(), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))).otherwise(F.lit(0).cast("long"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("doc_id"), salt.alias("salt"))
-    kept = rows.join(told.withColumn("salt", F.lit(0).cast("long")), ["doc_id", "salt"], "left").where("NOT coalesce(gone, false)")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("doc_id"), F.monotonically_increasing_id().alias("place"))
+    # rows without a key need no join; an id that many rows repeat is dealt out by their places
+    repeated = told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    by_id = Salted(told.select("doc_id", F.col("n").alias("m")), ["doc_id"], repeated)
+    joined = by_id.join(rows.where("doc_id IS NOT NULL"), "place", told, how="left").where("NOT coalesce(gone, false)")
+    alone = rows.where("doc_id IS NULL").withColumns({"n": F.lit(1).cast("long"), "gone": F.lit(False)})
+    kept = joined.select("row", "doc_id", "n").unionByName(alone.select("row", "doc_id", "n"))
     # only rows that repeat an id are compared with each other
     first = F.min_by("row", F.struct(F.xxhash64("row.text"), F.xxhash64("row"))).alias("row")
     once = kept.where("n > 1").groupBy("doc_id").agg(first)
@@ -79,7 +82,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    """All stages; a stage's table is deleted when the next one is written."""
+    docs, scratch = _table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, scratch.write(stage(spark, docs, sf_dir), f"stage-{name}")
+        scratch.drop(before)
     return docs
