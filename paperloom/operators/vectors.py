@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import cosine
+from ..functions.json_text import pretty
 from ..functions.rules import FLOOR
 from .access import Caller, of_tenant, one_of, visible
 
@@ -62,3 +63,27 @@ def context(hits: DataFrame, docs: DataFrame, children: dict[str, DataFrame]) ->
         listed = gathered(part, "document_id", "id", [F.col(c) for c in rows.columns if c not in ("id", "document_id")], name)
         out = out.join(listed, "document_id", "left")
     return out
+
+
+def prompt_context(found: DataFrame, hits: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """One row, ``context``: what a prompt gets of ``context`` and its hits, as an indented JSON text.
+
+    Documents stand in order of their best hit, their children (``names``) in the same order and by id, excerpts by rank.
+    Without hits all lists are empty.
+    """
+    ranks = hits.groupBy("document_id").agg(F.min("rank").alias("_rank"))
+    own = F.struct(F.col("document_id").alias("id"), "name", "classification")
+
+    def child(name: str) -> Column:
+        fields = found.schema[name].dataType.elementType.names
+        listed = F.transform(F.coalesce(name, F.array().cast(found.schema[name].dataType)), lambda x: F.struct(F.col("document_id"), *[x[f].alias(f) for f in fields]))
+        return listed.alias(name)
+
+    rows = found.join(ranks, "document_id").select("_rank", own.alias("documents"), *[child(n) for n in names])
+    # a top-k list's documents: a few rows
+    listed = F.sort_array(F.collect_list(F.struct("_rank", "documents", *names)))
+    one = rows.agg(listed.alias("l")).select(F.col("l")["documents"].alias("documents"), *[F.flatten(F.col("l")[n]).alias(n) for n in names])
+    chunk = F.struct("rank", F.struct("document_id", F.col("excerpt").alias("text"), F.col("similarity").alias("score")).alias("x"))
+    chunks = hits.agg(F.sort_array(F.collect_list(chunk)).alias("c")).select(F.transform("c", lambda x: x["x"]).alias("relevant_excerpts"))
+    both = one.join(F.broadcast(chunks)).select(F.struct("documents", *names, "relevant_excerpts").alias("v"))
+    return both.select(pretty(F.col("v"), both.schema["v"].dataType).alias("context"))

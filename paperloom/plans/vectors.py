@@ -106,3 +106,31 @@ def vector_topk_ivf(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d)
     found = ivf.top_k(ivf.build(rows), rows.where("id % 50 = 0"), 10, exact=True)
     return found.select("query_id", "rank", "id", F.round("similarity", 4).alias("similarity"))
+
+
+def _quoted_sql(text: str) -> str:
+    """A text as an ASCII JSON string; characters beyond the first 65,536 don't occur in the tables."""
+    cases = " ".join(f"WHEN ch = {c} THEN '{to}'" for c, to in (("'\"'", '\\"'), ("'\\'", "\\\\"), ("'/'", "\\/"), ("chr(8)", "\\b"), ("chr(12)", "\\f"), ("chr(10)", "\\n"), ("chr(13)", "\\r"), ("chr(9)", "\\t")))
+    shown = f"CASE {cases} WHEN unicode(ch) < 32 OR unicode(ch) > 127 THEN '\\u' || lpad(lower(hex(unicode(ch))), 4, '0') ELSE ch END"
+    return f"""CASE WHEN {text} IS NULL THEN 'null' ELSE '"' || array_to_string(list_transform(string_split({text}, ''), lambda ch: {shown}), '') || '"' END"""
+
+
+def _list_of_sql(name: str, fields: dict[str, str], source: str, order: str) -> str:
+    lines = " || ',' || chr(10) || ".join(f"""'            "{f}": ' || {value}""" for f, value in fields.items())
+    item = f"'        {{' || chr(10) || {lines} || chr(10) || '        }}'"
+    return f"""'    "{name}": ' || (SELECT CASE WHEN count(*) = 0 THEN '[]' ELSE '[' || chr(10) || string_agg({item}, ',' || chr(10) ORDER BY {order}) || chr(10) || '    ]' END FROM {source})"""
+
+
+_LISTS = [
+    _list_of_sql("documents", {"id": "x.document_id", "name": _quoted_sql("d.name"), "classification": _quoted_sql("d.classification")}, "x JOIN v_documents d ON d.id = x.document_id", "x.rank"),
+    *(_list_of_sql(n, {"document_id": "e.document_id", "value": _quoted_sql("e.value"), "percent": "e.percent"}, f"v_{n} e JOIN x ON x.document_id = e.document_id", "x.rank, e.id") for n in views.EVERY),
+    _list_of_sql("relevant_excerpts", {"document_id": "h.document_id", "text": _quoted_sql("h.excerpt"), "score": "regexp_replace(h.similarity::VARCHAR, '\\.0$', '')"}, "h", "h.rank"),
+]
+
+
+@query(_HITS + ", x AS (SELECT document_id, min(rank) AS rank FROM h GROUP BY document_id) SELECT '{' || chr(10) || " + " || ',' || chr(10) || ".join(_LISTS) + " || chr(10) || '}' AS context")
+def qa_context_json(spark: SparkSession, d: str) -> DataFrame:
+    """The context as the prompt gets it: one indented JSON text of documents, findings and excerpts."""
+    hits = _hits(spark, d)
+    found = vectors.context(hits, views.documents(spark, d, status=False), findings(spark, d))
+    return vectors.prompt_context(found, hits, tuple(views.EVERY))
