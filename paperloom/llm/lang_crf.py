@@ -34,6 +34,8 @@ WORD = r"\p{L}[\p{L}\p{M}]*"
 BUCKETS, GRAMS = 1 << 17, (2, 3, 4)
 #: Bounds of what is learned from: words of the lexicon, and documents of a language whose fragments train the weights.
 LEXICON, LEAST_DOCS, DOCS_EACH = 20_000, 3, 400
+#: A word of the lexicon is in one of so many documents at least.
+ONE_IN = 20_000
 #: Fragments of a sampled document, words of one at most (a third of it on average), and letters of a word that trains.
 FRAGMENTS, FRAGMENT_WORDS, WORD_LETTERS = 5, 36, 64
 #: Words of a training chain; rounds and step of AdaGrad; weight of squares.
@@ -41,7 +43,7 @@ CHAIN, ROUNDS, STEP, DECAY = 96, 30, 0.5, 1e-6
 #: Words of a block, and blocks of a slab.
 BLOCK, SLAB = 32, 8192
 #: Bytes of texts that are labelled together, whose common words get their scores once.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 UNDECIDED = "und"
 
 
@@ -218,16 +220,20 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame) -> Model:
     """A model from ``docs`` (doc_id, text, lang), those of a null lang or text left out."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
     # one row a word and document, added up before the shuffle
     held = rows.select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
     counts = held.where(F.length("word") <= WORD_LETTERS).groupBy("word").agg(F.count("*").alias("n"), *[F.count_if(F.col("lang") == x).alias(f"n{i}") for i, x in enumerate(langs)])
-    top = counts.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "word").limit(LEXICON).collect() if langs else []
+    # a share of all documents, so what tasks send for the list doesn't grow with the corpus
+    least = max(LEAST_DOCS, sum(sizes.values()) // ONE_IN)
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(LEXICON).collect() if langs else []
     shares = np.array([r[2:] for r in top], float).reshape(len(top), len(langs))
-    # least hashes of each language; tasks keep no more of them before the shuffle
+    # texts of the least hashes of each language: first some four times as many as are wanted, told by their hash alone
     hashed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = hashed.select("lang", "h").withColumn("place", place).where(F.col("place") <= DOCS_EACH).select("lang", "h").distinct()
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4 * DOCS_EACH / n))]), F.col("lang")) if langs else F.lit(1.0)
+    few = hashed.select("lang", "h").where(F.shiftrightunsigned("h", 11) / (1 << 53) <= share).distinct()
+    chosen = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= DOCS_EACH).select("lang", "h")
     sample = hashed.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")  # ``DOCS_EACH`` rows a language
     got = sample.mapInArrow(_fragments, "lang string, words array<string>").collect() if langs else []
     return train(langs, {r.word: i for i, r in enumerate(top)}, shares / shares.sum(axis=1, keepdims=True) if len(top) else shares, [(r.lang, list(r.words)) for r in got])
