@@ -111,7 +111,7 @@ def vector_topk_ivf(spark: SparkSession, d: str) -> DataFrame:
 def _quoted_sql(text: str) -> str:
     """A text as an ASCII JSON string; characters beyond the first 65,536 don't occur in the tables."""
     cases = " ".join(f"WHEN ch = {c} THEN '{to}'" for c, to in (("'\"'", '\\"'), ("'\\'", "\\\\"), ("'/'", "\\/"), ("chr(8)", "\\b"), ("chr(12)", "\\f"), ("chr(10)", "\\n"), ("chr(13)", "\\r"), ("chr(9)", "\\t")))
-    shown = f"CASE {cases} WHEN unicode(ch) < 32 OR unicode(ch) > 127 THEN '\\u' || lpad(lower(hex(unicode(ch))), 4, '0') ELSE ch END"
+    shown = f"CASE WHEN ch = '' THEN '' {cases} WHEN unicode(ch) < 32 OR unicode(ch) > 127 THEN '\\u' || lpad(lower(hex(unicode(ch))), 4, '0') ELSE ch END"
     return f"""CASE WHEN {text} IS NULL THEN 'null' ELSE '"' || array_to_string(list_transform(string_split({text}, ''), lambda ch: {shown}), '') || '"' END"""
 
 
