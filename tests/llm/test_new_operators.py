@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from paperloom.llm import filter_audit, lang_crf, queries, runs, shared
+from paperloom.llm import features, filter_audit, lang_crf, queries, runs, shared
 
 from .test_operators import MIDDLE, SMALL, odd, table, texts  # noqa: F401  odd is a fixture
 
@@ -210,3 +210,11 @@ def test_language_of_odd_tables(spark, odd):  # noqa: F811
     assert lang_crf.label(odd.where("false"), one).count() == 0
     several = odd.unionByName(odd.selectExpr("*").withColumn("lang", odd["label"]))
     assert lang_crf.fit(several).langs == ["en", "l"]
+
+
+def test_labels_without_documents_take_no_room(spark):
+    """Of a thousand labels ten have a document; a bound of a hundred rows leaves all ten."""
+    docs = spark.createDataFrame([(100 * i, f"text {i}") for i in range(10)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1000)], "doc_id long, quality int")
+    assert sorted(r.doc_id for r in features.labelled(docs, labels, "quality", 100).collect()) == [100 * i for i in range(10)]
+    assert features.labelled(docs, labels, "quality", 4).count() == 4
