@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import access, history, listing, reporting, scalars, state, text, validation, vectors  # noqa: F401  they register themselves
+from . import access, history, listing, reporting, scalars, state, text, upkeep, validation, vectors  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 

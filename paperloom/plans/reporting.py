@@ -24,8 +24,8 @@ def bi_kpis(spark: SparkSession, d: str) -> DataFrame:
     return kpis.join(shown(spark, d), "document_id").select("id", "document_id", "workspace_id", "document_name", "classification", "label", "value_display", "value_numeric", "trend", "document_uploaded_at")
 
 
-_NUMERIC = r"CASE WHEN regexp_full_match(k.value, '[ \t\n\r\f\v]*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t\n\r\f\v]*') THEN trim(k.value)::DOUBLE::DECIMAL(20, 4)::DOUBLE END"
-_KPIS = f"""SELECT k.id, k.document_id, d.workspace_id, d.name AS document_name, d.classification, k.label, k.value AS value_display, {_NUMERIC} AS value_numeric, k.trend, d.created_at AS document_uploaded_at
+NUMERIC = r"CASE WHEN regexp_full_match(k.value, '[ \t\n\r\f\v]*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t\n\r\f\v]*') THEN trim(k.value)::DOUBLE::DECIMAL(20, 4)::DOUBLE END"
+_KPIS = f"""SELECT k.id, k.document_id, d.workspace_id, d.name AS document_name, d.classification, k.label, k.value AS value_display, {NUMERIC} AS value_numeric, k.trend, d.created_at AS document_uploaded_at
 FROM v_kpis k JOIN v_documents d ON d.id = k.document_id WHERE {_SHOWN}"""
 
 
@@ -54,7 +54,7 @@ def rls_bi_kpis(spark: SparkSession, d: str) -> DataFrame:
     return access.secured(view, credentials, "bi_three").union(access.secured(view, credentials, "bi_gone")).union(access.secured(view, credentials, "unknown"))
 
 
-@query(f"SELECT id, value, {_NUMERIC} AS value_numeric, coalesce(value, '') AS shown FROM v_kpis k")
+@query(f"SELECT id, value, {NUMERIC} AS value_numeric, coalesce(value, '') AS shown FROM v_kpis k")
 def kpi_value_numeric(spark: SparkSession, d: str) -> DataFrame:
     return views.kpis(spark, d).select("id", "value", number_or_null(F.col("value")).cast("double").alias("value_numeric"), F.coalesce("value", F.lit("")).alias("shown"))
 
