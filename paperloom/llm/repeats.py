@@ -269,14 +269,18 @@ def _spans(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in SPAN.split(", ")])
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, code=None) -> DataFrame:
     """``doc, tkey, lo, hi``: runs of starts (bytes) in ``docs`` (doc, tkey, text or bytes) whose strings repeat.
 
-    Runs may overlap. Rows of one doc and tkey have one text and one list of runs, however many they are. The runs are a
+    ``code`` turns batches of texts into batches of the bytes to be searched. Runs may overlap. Rows of one doc and tkey have one text and one list of runs, however many they are. The runs are a
     table in the shared folder; all other tables of the search are deleted.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.write(docs.select("doc", "tkey", "text").mapInArrow(finder(length, gram), FOUND), "segments")
+    docs, find = docs.select("doc", "tkey", "text"), finder(length, gram)
+    # coded and searched by one Python process: one for each of the two steps would double a task's memory
+    found = scratch.write(docs.mapInArrow(find if code is None else lambda batches: find(code(batches)), FOUND), "segments")
+    if code is not None:
+        docs = docs.mapInArrow(code, "doc long, tkey long, text binary")
     segs = found.where("gram IS NOT NULL")
     # counts only: which grams are met twice, and which contents
     contents = segs.groupBy("gram", "c1", "c2").agg(F.sum("times").alias("times"), *[F.first(c).alias(c) for c in ("doc", "tkey", "lo", "n", "a")])
@@ -336,7 +340,7 @@ def coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def passages(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE_GRAM, group: int = GROUP) -> DataFrame:
     """``spans`` of the words' codes of ``docs`` (doc, tkey, text): runs of ``words`` words and more that occur again."""
-    return spans(docs.select("doc", "tkey", "text").mapInArrow(coder, "doc long, tkey long, text binary"), words * CODE, gram * CODE, group)
+    return spans(docs, words * CODE, gram * CODE, group, coder)
 
 
 def _runs(lows: pa.Scalar, highs: pa.Scalar, length: int) -> list[tuple[int, int]]:
