@@ -283,10 +283,14 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
         docs = docs.mapInArrow(code, "doc long, tkey long, text binary")
     segs = found.where("gram IS NOT NULL")
     # counts only: which grams are met twice, and which contents
-    contents = segs.groupBy("gram", "c1", "c2").agg(F.sum("times").alias("times"), *[F.first(c).alias(c) for c in ("doc", "tkey", "lo", "n", "a")])
+    same_content = ["gram", "c1", "c2"]
+    contents = segs.groupBy(*same_content).agg(F.sum("times").alias("times"), F.count("*").alias("m"), *[F.first(c).alias(c) for c in ("doc", "tkey", "lo", "n", "a")])
     contents = scratch.write(contents, "contents")
-    grams = contents.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
-    multiple = contents.join(grams, "gram").withColumn("large", F.col("k") > group)
+    n_segs, n_contents = contents.agg(F.coalesce(F.sum("m"), F.lit(0)), F.count("*")).first()
+    grams = scratch.write(contents.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "grams")
+    # one gram may have most contents, and one content most segments
+    by_gram, by_content = Salted(grams, ["gram"], n_contents), Salted(contents.select(*same_content, "m"), same_content, n_segs)
+    multiple = by_gram.join(contents.drop("m"), "c1", grams).withColumn("large", F.col("m") > group)
     listed = multiple.groupBy("doc", "tkey").agg(F.collect_list(F.struct("gram", "times", "lo", "n", "a", "large")).alias("listed"))
     # rows of one doc and tkey are equal: one is cut, and tasks drop others before the shuffle
     texts = docs.select("doc", "tkey", "text").dropDuplicates(["doc", "tkey"]).join(listed, ["doc", "tkey"])
@@ -317,13 +321,13 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
     starts = scratch.write(both.select("doc", "tkey", "at", "times", *core, F.posexplode("starts").alias("i", "h")), "starts")
     twice = counted(starts, [*core, "h"], "twice")
     by_start = among(starts.where("times = 1"), "doc", twice).select("doc", "tkey", (F.col("at") + F.col("i")).alias("lo"), (F.col("at") + F.col("i")).alias("hi"))
-    equal = segs.join(contents.where("times > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"], "left_semi")
+    equal = by_content.join(segs, "doc", contents.where("times > 1").select(*same_content), how="left_semi")
     known = found.where("gram IS NULL")
     whole = equal.unionByName(known).select("doc", "tkey", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
     every = whole.union(by_sort).union(by_part).union(by_start)
     # equal rows find the same runs: of each start the longest is enough, and tasks see to that before the shuffle
     out = scratch.write(every.groupBy("doc", "tkey", "lo").agg(F.max("hi").alias("hi")), "spans")
-    scratch.drop(found, contents, cut, parts, starts, same[0], inner[0], twice[0])
+    scratch.drop(found, contents, grams, cut, parts, starts, same[0], inner[0], twice[0])
     return out
 
 
