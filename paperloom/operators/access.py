@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.rules import CLASSIFICATIONS, REVIEWERS, ROLES_BY_CLASSIFICATION, allowed_classifications
 
 
+#: Rows of a key that a task of ``join_spread`` takes (about), and the most keys that it deals out to several tasks.
+KEY_ROWS, SPREAD_KEYS = 100_000, 1000
+
+
 class Caller(NamedTuple):
     """The user on whose behalf a query runs, with the workspace that they are in."""
 
@@ -68,3 +72,21 @@ def secured(view: DataFrame, credentials: DataFrame, db_role: str) -> DataFrame:
 def remaining_admins(users: DataFrame, but: int) -> DataFrame:
     """How many active administrators there are besides one; at 0 that one must stay."""
     return users.where(F.col("active") & (F.col("role") == "Administrator") & (F.col("id") != but)).agg(F.count("*").alias("n"))
+
+
+def join_spread(rows: DataFrame, others: DataFrame, key: str, other_key: str) -> DataFrame:
+    """``rows`` with the ``others`` of an equal key (null with null), where few keys may hold most rows.
+
+    The ``SPREAD_KEYS`` keys with the most rows, a list of that bound, have their rows dealt out to a task for every
+    ``KEY_ROWS`` of them, and the others of such a key go to each of these tasks. Any further key has at most one in
+    ``SPREAD_KEYS`` of all rows.
+    """
+    counts = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > KEY_ROWS)
+    spread = F.broadcast(counts.orderBy(F.desc("_rows")).limit(SPREAD_KEYS).select("_key", F.ceil(F.col("_rows") / KEY_ROWS).alias("_parts")))
+
+    def parted(df: DataFrame, by: str) -> DataFrame:
+        return df.join(spread, F.col(by).eqNullSafe(F.col("_key")), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long"))).drop("_key")
+
+    dealt = parted(rows, key).withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.col("_parts"))).drop("_parts")
+    copied = parted(others, other_key).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(copied, F.col(key).eqNullSafe(F.col(other_key)) & (F.col("_part") == F.col("_copy"))).drop("_part", "_copy")

@@ -22,7 +22,8 @@ def caller(users: DataFrame, docs: DataFrame, spaces: DataFrame) -> DataFrame:
     own = spaces.select(F.col("id").alias("workspace_id"), (F.col("type") == "Personal").alias("personal"))
     d = docs.join(own, "workspace_id", "left")
     same = F.col("workspace_id").eqNullSafe(F.col("current_workspace_id"))
-    near = d.join(u, same).union(d.join(u, (F.col("uploaded_by") == F.col("user_id")) & ~same))
+    uploaded = access.join_spread(d.where(F.col("uploaded_by").isNotNull()), u, "uploaded_by", "user_id").where(~same)
+    near = access.join_spread(d, u, "workspace_id", "current_workspace_id").union(uploaded)
     view = access.may_view(F.col("personal"), F.col("uploaded_by"), F.col("workspace_id"), F.col("classification"), F.col("user_id"), F.col("role"), F.col("current_workspace_id"))
     return near.withColumn("may_view", view).withColumn("may_review", access.may_review(F.col("may_view"), F.col("personal"), F.col("role")))
 
