@@ -163,6 +163,30 @@ def test_repeats_in_hot_groups(spark, group):
     assert got == removed({d: t.encode() for d, t in docs.items()}, 400)
 
 
+def test_repeats_with_hot_keys(spark, monkeypatch):
+    """The same when keys of five rows already count as hot: a gram of many contents, and a content of many segments."""
+    hot = []
+
+    class Seen(shared.Salted):
+        def __init__(self, counts, keys, total):
+            super().__init__(counts, keys, total)
+            if self.hot is not None:
+                hot.append(tuple(keys))
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    monkeypatch.setattr(repeats, "Salted", Seen)
+    rng = np.random.default_rng(5)
+    text = lambda letters, n: "".join(rng.choice(list(letters), size=n))
+    passage, copy = text("abcdefgh ", 700), text("ijklmnop ", 800)
+    docs = {i: text("xyz ", rng.integers(0, 60)) + passage[rng.integers(0, 200) : rng.integers(450, 700)] + text("uvw", rng.integers(0, 60)) for i in range(40)}
+    docs |= dict.fromkeys(range(40, 60), copy)
+    # copies in runs of rows of their own, so that they don't collapse before they are counted
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(20, "doc_id")
+    got = {r.doc_id: tuple(r)[1:5] for r in repeats.without_repeats(rows).collect()}
+    assert got == removed({d: t.encode() for d, t in docs.items()}, 400)
+    assert ("gram",) in hot and ("gram", "c1", "c2") in hot
+
+
 def passages(docs: dict, size: int) -> dict:
     """Maximal runs of words that repeated strings of ``size`` words cover, and their words."""
     words = {d: re.findall(rb"[^\x20\x09-\x0D]+", b) for d, b in docs.items()}
