@@ -75,3 +75,53 @@ def test_probes_that_reach_a_recall(spark, clustered):
         queries = rows.where("id % 50 = 0")
         want = pairs(ivf.top_k(index, queries, 10, exact=True))
         assert len(want & pairs(ivf.top_k(index, queries, 10, probes=probes))) / len(want) >= 0.9
+
+
+def most_rows(df):
+    """The most rows that an operator of the executed plan gave to the next."""
+
+    def walk(node):
+        own = [m.get().value()] if (m := node.metrics().get("numOutputRows")).isDefined() else []
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        name = node.getClass().getSimpleName()
+        below += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+        return max([0, *own, *map(walk, below)])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_search_makes_no_row_a_pair(spark):
+    """Without clusters no cell is proved out, so every query is scored against every vector; only possible answers become rows."""
+    vectors = list(np.random.default_rng(3).normal(0, 1, (6000, 16)))
+    rows = frame(spark, vectors).cache()
+    queries = rows.where("id % 20 = 0")
+    got = ivf.top_k(ivf.build(rows), queries, 10, exact=True)
+    assert found(got) == plain(vectors, range(0, 6000, 20), 10)
+    got.collect()
+    assert 3000 <= most_rows(got) < 6000 * 300 / 20
+
+
+def test_copies_over_many_groups(spark, monkeypatch):
+    """One vector in most rows, in parts and groups of a few rows, ties by id; a query's list is the smallest ids."""
+    monkeypatch.setattr(ivf, "LIST_ROWS", 40)
+    monkeypatch.setattr(ivf, "GROUP_ROWS", 100, raising=False)
+    rng = np.random.default_rng(4)
+    vectors = [v if i % 3 else np.arange(1.0, 9.0) for i, v in enumerate(rng.normal(0, 1, (900, 8)))]
+    index = ivf.build(frame(spark, vectors), lists=6)
+    queries = frame(spark, vectors).where("id % 25 = 0")
+    want = plain(vectors, range(0, 900, 25), 10)
+    assert want[0] == list(range(0, 30, 3))
+    assert found(ivf.top_k(index, queries, 10, probes=2, exact=True)) == want
+    # more asked for than there are
+    every = ivf.top_k(index, queries.where("id < 50"), 1000, probes=1, exact=True)
+    assert every.groupBy("query_id").count().select("count").distinct().collect() == [(900,)]
+
+
+def test_odd_queries(spark, clustered):
+    """Rows without an id are in the index and found; queries of another length, or without a direction, find nothing."""
+    some = frame(spark, clustered[20:220])
+    nameless = spark.createDataFrame([(None, [float(x) for x in clustered[20]])], some.schema)
+    index = ivf.build(some.union(nameless), lists=5)
+    asked = frame(spark, [clustered[20], np.ones(3), np.zeros(24), None], first=5000)
+    assert found(ivf.top_k(index, asked, 3, probes=1, exact=True))[5000][:2] == [None, 0]
+    assert set(found(ivf.top_k(index, asked, 3, probes=1))) == {5000}
